@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, token_counts
+from . import jaccard_join, mixing, quality_rules, substring_dedup, token_counts
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -30,6 +30,15 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count(docs, vocabulary()).withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.join(_read(spark, folder, "documents"), percent=75, width=5)
+
+
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = substring_dedup.remove(_read(spark, folder, "documents").select("doc_id", "text"), window=20)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge(_read(spark, folder, "documents"))
     return judged.select(
@@ -52,8 +61,10 @@ def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
     "op8_source_mixing": op8_source_mixing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 SQL: dict[str, str] = {}
