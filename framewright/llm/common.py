@@ -74,25 +74,22 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+class _Memo(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
 class WordHasher:
-    """64-bit hashes of words, remembered up to `limit` distinct words so that memory stays bounded."""
+    """64-bit hashes of words, remembered up to about `limit` distinct words so that memory stays bounded."""
 
     def __init__(self, limit: int = 400_000) -> None:
-        self.seen: dict[bytes, int] = {}
-        self.limit = limit
+        self.seen, self.limit = _Memo(), limit
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        seen = self.seen
-        try:
-            return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(seen) > self.limit:
-                seen.clear()
-            h = xxhash.xxh3_64_intdigest
-            for w in set(words):
-                if w not in seen:
-                    seen[w] = h(w)
-            return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+        if len(self.seen) > self.limit:
+            self.seen.clear()
+        return np.fromiter(map(self.seen.__getitem__, words), np.uint64, len(words))
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:

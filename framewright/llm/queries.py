@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, quality_rules, substring_dedup, token_counts
+from . import decontaminate, jaccard_join, mixing, quality_rules, substring_dedup, token_counts
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -30,6 +30,12 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count(docs, vocabulary()).withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each document and benchmark item found in it."""
+    found = decontaminate.matches(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "similarity")
+
+
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join(_read(spark, folder, "documents"), percent=75, width=5)
 
@@ -61,6 +67,7 @@ def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_decontamination": op2_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
     "op8_source_mixing": op8_source_mixing,
