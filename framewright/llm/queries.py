@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mixing, quality_rules, substring_dedup, token_counts
+from . import decontaminate, jaccard_join, language_id, mixing, quality_fm, quality_rules, substring_dedup, token_counts
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -36,6 +36,27 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "item_id", "start", "similarity")
 
 
+def fold(parts: int):
+    """crc32 of doc_id as text, modulo `parts`."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    known = _read(spark, folder, "labels").filter(fold(5) != 0).select("doc_id", F.col("quality").alias("label"))
+    scored = quality_fm.score(docs, quality_fm.train(docs, known))
+    return scored.select(
+        "doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    model = language_id.train(docs.filter(fold(3) != 1))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join(_read(spark, folder, "documents"), percent=75, width=5)
 
@@ -68,9 +89,11 @@ def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
     "op8_source_mixing": op8_source_mixing,
+    "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
