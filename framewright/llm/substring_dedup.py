@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common as c
 
@@ -331,7 +332,7 @@ def remove(docs: DataFrame, *, window: int = WINDOW, text: str = "text") -> Data
     )
     joined = left.join(by_doc, ["_doc", "_h"], "left").drop("_doc", "_h")
     names = [x for x in joined.columns if x != "_ranges"]
-    schema = joined.select(*names).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    schema = StructType([joined.schema[x] for x in names]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
