@@ -8,7 +8,8 @@ subsets of n2 - 1 sub-partitions but one are equal: each such subset is a signat
 
 Two consequences of T keep the work near linear without losing a link. Signatures of empty subsets, which unrelated
 sets share, are left out by a set with fewer partitions that have an empty subset than it must share; and a set that
-shares fewer signatures than that with all others together has no partner and is dropped before pairs are formed.
+shares fewer signatures than that with all others together has no partner and is dropped before pairs are formed, as is a
+set with too few shingles that occur in any other of those that are left.
 
 Copies are one node. Instead of all pairs of a bucket, nodes are verified against a hub of theirs, what links is
 merged, and this repeats for what is still apart; the pairs that are left across components are then all verified.
@@ -258,8 +259,8 @@ def _nodes(docs: DataFrame, text: str, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, node long")
 
 
-def candidates(docs: DataFrame, *, percent: int, width: int, text: str) -> DataFrame:
-    """(sig, node) of the nodes that may have a partner, for signatures that two of them share."""
+def signatures(docs: DataFrame, *, percent: int, width: int, text: str) -> DataFrame:
+    """(sig, node) of the nodes that share enough signatures, for signatures that two or more nodes have."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(211, size // BUCKET_BYTES)
 
@@ -279,16 +280,62 @@ def candidates(docs: DataFrame, *, percent: int, width: int, text: str) -> DataF
     entries = found.filter("kind = 0").select("sig", "node", "which")
     needs = found.filter("kind = 1").groupBy("node", "which").agg(F.first("need").alias("need"))
     able = entries.groupBy("node", "which").agg(F.count("*").alias("m")).join(needs, ["node", "which"]).filter("m >= need").select("node", "which")
-    left = entries.join(able, ["node", "which"]).select("sig", "node")
-    shared = left.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("sig")
-    return c.materialize(left.join(shared, "sig"), "candidates")
+    return entries.join(able, ["node", "which"]).select("sig", "node")
+
+
+def supported(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """The nodes of which at least `percent` of the shingles occur in another node: no other can have a link.
+
+    Documents that share a passage and nothing else agree in signatures made of the passage alone; they go here, before
+    any pair is formed. Shingles are dealt out packed by bucket, counts come back for each node and bucket.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in c.slices(whole, "shingles", 24 << 20):
+                nodes = batch.column("node").to_numpy(zero_copy_only=False)
+                each = [np.frombuffer(x.as_buffer(), _U) for x in batch.column("shingles")]
+                x = np.concatenate(each)
+                row = np.repeat(np.arange(len(each)), [len(e) for e in each]).astype("<u4")
+                bucket = (x % _U(buckets)).astype(np.int32)
+                o = np.argsort(bucket, kind="stable")
+                x, row, bucket = x[o], row[o], bucket[o]
+                edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                blobs, to = [], []
+                for lo, hi in zip(edges, np.append(edges[1:], len(x))):
+                    used, local = np.unique(row[lo:hi], return_inverse=True)
+                    blobs.append(b"".join(v.tobytes() for v in (np.array([len(used), hi - lo], "<u4"), nodes[used], local.astype("<u4"), x[lo:hi])))
+                    to.append(int(bucket[lo]))
+                yield pa.record_batch({"bucket": pa.array(to, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+    def count(table: pa.Table) -> pa.Table:
+        nodes, x = [], []
+        for blob in table.column("blob").to_pylist():
+            y = np.frombuffer(blob, np.uint8)
+            d, m = (int(v) for v in y[:8].view("<u4"))
+            ids = y[8 : 8 + 8 * d].view("<i8")
+            at = 8 + 8 * d
+            nodes.append(ids[np.frombuffer(blob, "<u4", m, at)])
+            x.append(np.frombuffer(blob, "<u8", m, at + 4 * m))
+        node, x = np.concatenate(nodes), np.concatenate(x)
+        o = np.argsort(x, kind="stable")
+        same = x[o][1:] == x[o][:-1]
+        multi = np.zeros(len(x), bool)
+        multi[1:] |= same
+        multi[:-1] |= same
+        ids, m = np.unique(node[o][multi], return_counts=True)
+        return pa.table({"node": pa.array(ids, pa.int64()), "m": pa.array(m, pa.int64())})
+
+    counted = sets.select("node", "shingles").mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(count, "node long, m long")
+    total = counted.groupBy("node").agg(F.sum("m").alias("m"))
+    return total.join(sets.select("node", (F.octet_length("shingles") / 8).alias("n")), "node").filter(100 * F.col("m") >= percent * F.col("n")).select("node")
 
 
 def links(docs: DataFrame, nodes: DataFrame, *, percent: int, width: int, text: str) -> DataFrame:
     """Verified links (a, b) between nodes; enough of them for the components, not all."""
     spark = docs.sparkSession
-    cand = candidates(docs, percent=percent, width=width, text=text)
-    reps = nodes.join(cand.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("_id"))
+    able = c.materialize(signatures(docs, percent=percent, width=width, text=text), "able")
+    reps = nodes.join(able.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("_id"))
     text_rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,6 +348,11 @@ def links(docs: DataFrame, nodes: DataFrame, *, percent: int, width: int, text:
     wanted = reps.select(F.col("_id").alias("_r")).distinct()
     some = text_rows.join(wanted, text_rows["_id"].eqNullSafe(F.col("_r")), "left_semi")
     sets = c.materialize(some.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    size = sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+    fine = c.materialize(supported(sets, percent, max(64, size // BUCKET_BYTES)), "supported")
+    left = able.join(fine, "node")
+    shared = left.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("sig")
+    cand = c.materialize(left.join(shared, "sig"), "candidates")
     schema = "a long, b long, linked boolean"
     tested = spark.createDataFrame([], schema)
     labels = cand.select("node").distinct().withColumn("comp", F.col("node"))
