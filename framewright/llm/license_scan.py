@@ -10,7 +10,6 @@ the Dice similarity of its words to the nearest notice of the family. Documents
 from __future__ import annotations
 
 import functools
-import json
 import re
 
 import numpy as np
@@ -96,16 +95,27 @@ NEGATIVES = [
     "All work and no play.", "Free beer for all students of the university.", "The Apache helicopter landed near the village.",
     "He studied at MIT and later moved abroad.", "The right of way was granted to the farmers.", "Permission to land was refused.",
     "The terms were not acceptable to either side.", "The foundation was laid two years ago.", "Source and target are compared word by word.",
+    "mit", "mit und", "Er kam mit dem Zug nach Hause und blieb mit der Familie.", "gnu", "apache", "bsd", "commons", "mozilla", "licensed", "license", "released", "public",
     "", "the of and to in is was for that with as it on by", "1.0 2.0 3.0", "Commons was in session until midnight.", "The public library is closed.",
 ]
 UNKNOWN = "unknown"
+#: Function words, which are features only beside another word.
+FUNCTION_WORDS = set(
+    "a all an and any are as at be been below but by can do for from had has have he her here his i if in into is it its me may met more no not of on one or our "
+    "see she so than that the their them then there these they this to under up via was we were what which who will with without work you your".split()
+)
 #: Dice similarity to a notice from which a prediction counts as confirmed.
 CONFIRM = 0.5
-_SPLIT = r"[^a-z0-9.]+"
+_SPLIT = r"[^a-z0-9]+"
 
 
 def _words(text: str) -> list[str]:
-    return [w for w in (x.strip(".") for x in re.split(_SPLIT, text.lower())) if w]
+    return [w for w in re.split(_SPLIT, text.lower()) if w]
+
+
+def _light(word: str) -> bool:
+    """Too common to be a feature by itself."""
+    return word in FUNCTION_WORDS or word.isdigit() or len(word) == 1
 
 
 def _grams(words: list[str]) -> list[str]:
@@ -134,8 +144,7 @@ def train(steps: int = 400, rate: float = 0.5, l1: float = 2e-4) -> Model:
     classes = [*NOTICES, UNKNOWN]
     rows = [(v, k) for k, notices in NOTICES.items() for n in notices for v in _variants(n)]
     rows += [(v, UNKNOWN) for n in NEGATIVES for v in (n, n + " " + n[: len(n) // 2])]
-    common = {g for n in NEGATIVES[:-1] for g in _words(n)} & {"the", "of", "and", "to", "in", "is", "was", "for", "that", "with", "as", "it", "on", "by", "a", "all", "this", "no", "at", "be", "or"}
-    vocabulary = sorted({g for t, _ in rows for g in _grams(_words(t)) if not set(g.split()) <= common})
+    vocabulary = sorted({g for t, _ in rows for g in _grams(_words(t)) if not all(map(_light, g.split()))})
     index = {g: i for i, g in enumerate(vocabulary)}
     x = np.zeros((len(rows), len(vocabulary)))
     for r, (t, _) in enumerate(rows):
@@ -164,39 +173,56 @@ def train(steps: int = 400, rate: float = 0.5, l1: float = 2e-4) -> Model:
 
 
 def _word_array(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.lower(text), _SPLIT), lambda w: F.btrim(w, F.lit("."))), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), _SPLIT), "")
 
 
-def scan(docs: DataFrame, model: Model | None = None, *, text: str = "text") -> DataFrame:
-    """doc_id, paragraph, family, probability, similarity, confirmed for every paragraph (line) that a licence family is predicted for.
+def scan(docs: DataFrame, model: Model | None = None, *, text: str = "text", unconfirmed: bool = False) -> DataFrame:
+    """doc_id, paragraph, family, probability, similarity, confirmed for every paragraph (line) with a confirmed licence family.
 
-    paragraph is the line's number from 0. Null and empty texts, and texts without a licence, give no row; repeated rows
+    With unconfirmed=True also predictions that no notice of the family confirms; else those count as unknown. paragraph is the line's number from 0. Null and empty texts, and texts without a licence, give no row; repeated rows
     give their rows each; texts are scanned whole. An empty table gives an empty result. Other columns are ignored.
     """
     m = model or train()
-    words = sorted({w for g in m.vocabulary for w in g.split()})
-    known = F.from_json(F.lit(json.dumps(dict(zip(m.vocabulary, m.weights.tolist())))), "map<string,array<double>>")
+    # a feature holds a word that isn't light: without one of these all features are absent
+    words = sorted({w for g in m.vocabulary for w in g.split() if not _light(w)})
+    text_of = lambda x: "'" + x.replace("'", "''") + "'"
+    known = F.expr(
+        "map_from_arrays(array(" + ", ".join(map(text_of, m.vocabulary)) + "), array("
+        + ", ".join("array(" + ", ".join(f"{v}D" for v in row) + ")" for row in m.weights.tolist()) + "))"
+    )
     zero = F.array(*[F.lit(0.0) for _ in m.classes])
     start = F.array(*[F.lit(float(v)) for v in m.bias])
-    notices = F.from_json(F.lit(json.dumps({k: [sorted(set(_words(n))) for n in v] for k, v in NOTICES.items()})), "map<string,array<array<string>>>")
-    lines = (
-        docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("paragraph", "_line"))
-        .withColumn("_w", _word_array(F.col("_line")))
-        .filter(F.exists("_w", lambda w: w.isin(words)))
-        .drop("_line")
+    notices = F.expr(
+        "map(" + ", ".join(
+            f"{text_of(k)}, array(" + ", ".join("array(" + ", ".join(map(text_of, sorted(set(_words(n))))) + ")" for n in v) + ")" for k, v in NOTICES.items()
+        ) + ")"
     )
-    pairs = F.filter(F.transform("_w", lambda w, i: F.concat_ws(" ", w, F.get(F.col("_w"), i + 1))), lambda g: F.contains(g, F.lit(" ")))
-    add = lambda a, g: F.zip_with(a, F.coalesce(known[g], zero), lambda p, q: p + q)
-    logits = lambda grams: F.aggregate(F.array_distinct(grams), start, add)
-    scaled = F.transform(logits(F.concat("_w", pairs)), lambda v: F.exp(v / m.temperature))
+    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("paragraph", "_line"))
+    lines = lines.filter(F.exists(_word_array(F.col("_line")), lambda w: w.isin(words)))
     names = F.array(*[F.lit(x) for x in m.classes])
-    dice = lambda n: 2.0 * F.size(F.array_intersect(F.col("_w"), n)) / F.greatest(F.lit(1), F.size(n) + F.size(F.array_distinct("_w")))
-    return (
-        lines.withColumn("_e", scaled)
-        .withColumn("_top", F.array_max("_e"))
-        .withColumn("family", F.get(names, (F.array_position("_e", F.col("_top")) - 1).cast("int")))
-        .withColumn("probability", F.col("_top") / F.aggregate("_e", F.lit(0.0), lambda a, v: a + v))
-        .filter((F.col("family") != UNKNOWN) & (F.col("probability") > m.threshold))
-        .withColumn("similarity", F.array_max(F.transform(notices[F.col("family")], dice)))
-        .select("doc_id", "paragraph", "family", "probability", "similarity", (F.col("similarity") >= CONFIRM).alias("confirmed"))
+    add = lambda a, g: F.zip_with(a, F.coalesce(known[g], zero), lambda p, q: p + q)
+
+    def grams(w: Column) -> Column:
+        two = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 1)), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
+        return F.array_distinct(F.filter(F.concat(w, two), lambda g: g.isin(m.vocabulary)))
+
+    def judged(w: Column, e: Column) -> Column:
+        top = F.array_max(e)
+        family = F.get(names, (F.array_position(e, top) - 1).cast("int"))
+        dice = lambda n: 2.0 * F.size(F.array_intersect(w, n)) / F.greatest(F.lit(1), F.size(n) + F.size(F.array_distinct(w)))
+        return F.struct(
+            family.alias("family"),
+            (top / F.aggregate(e, F.lit(0.0), lambda a, v: a + v)).alias("probability"),
+            F.coalesce(F.array_max(F.transform(notices[family], dice)), F.lit(0.0)).alias("similarity"),
+        )
+
+    def classify(w: Column) -> Column:
+        scores = lambda g: F.transform(F.aggregate(g, start, add), lambda v: F.exp(v / m.temperature))
+        return c.let(grams(w), lambda g: c.let(scores(g), lambda e: judged(w, e)))
+
+    # the generator keeps the result from being computed anew for each of its fields
+    found = F.filter(F.array(c.let(_word_array(F.col("_line")), classify)), lambda r: (r["family"] != UNKNOWN) & (r["probability"] > m.threshold))
+    out = lines.select("doc_id", "paragraph", F.explode(found).alias("_r")).select(
+        "doc_id", "paragraph", "_r.family", "_r.probability", "_r.similarity", (F.col("_r.similarity") >= CONFIRM).alias("confirmed")
     )
+    return out if unconfirmed else out.filter("confirmed")

@@ -8,6 +8,7 @@ into pieces once. A second pass forms the pre-token frequencies of every documen
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,49 +26,36 @@ HEAD, HEAD_CHARS = 1 << 17, 32
 
 
 class PreTokens:
-    """Pre-token frequencies of a text.
+    """Pre-tokens of texts by their space-separated chunks.
 
-    Where no two white spaces meet, a single space always starts a pre-token, so the text is first counted by its
-    space-separated chunks and the pattern runs once for each distinct chunk; else it runs over the text.
+    A single space between two other characters always starts a pre-token, so a chunk that neither is empty nor begins
+    or ends with white space has the same pre-tokens wherever it stands (after a space). The pattern then runs once for each distinct
+    chunk; a text with any other chunk is handled as a whole.
     """
 
-    def __init__(self, special: str | None, limit: int = 200_000) -> None:
-        self.find = regex.compile(PATTERN).findall
-        self.double = regex.compile(r"\s\s").search
-        self.odd = regex.compile(r"[\x1c-\x1f]").search
-        self.special, self.limit, self.seen = special, limit, {}
-
-    def chunks(self, text: str) -> Counter:
-        """Distinct chunks with their frequencies; a chunk is a stretch whose pre-tokens don't depend on the rest."""
-        parts = text.split(self.special) if self.special and self.special in text else [text]
-        out: Counter = Counter()
-        for part in parts:
-            if not part:
-                continue
-            if self.double(part) or self.odd(part):
-                out[part] += 1
-                continue
-            pieces = part.split(" ")
-            if pieces[0]:
-                out[pieces[0]] += 1
-            out.update(" " + p for p in pieces[1:])
-        return out
-
-    def n_special(self, text: str) -> int:
-        return text.count(self.special) if self.special else 0
-
-    def of(self, chunk: str) -> list[str]:
-        if len(chunk) > 64:
-            return self.find(chunk)
-        got = self.seen.get(chunk)
-        if got is None:
-            if len(self.seen) > self.limit:
-                self.seen.clear()
-            got = self.seen[chunk] = self.find(chunk)
-        return got
+    def __init__(self, special: str | None) -> None:
+        self.find, self.special = regex.compile(PATTERN).findall, special
+
+    def parts(self, text: str) -> tuple[list[str], int]:
+        """The stretches between special strings, and how many of those there are."""
+        if self.special and self.special in text:
+            found = text.split(self.special)
+            return [p for p in found if p], len(found) - 1
+        return ([text] if text else []), 0
+
+    @staticmethod
+    def plain(chunk: str) -> bool:
+        return bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace()
+
+    def after_space(self, chunk: str) -> list[str]:
+        return self.find(" " + chunk)
+
+    def whole(self, part: str) -> Counter:
+        return Counter(self.find(part))
 
 
 def _load(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
@@ -92,22 +80,44 @@ def pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre = PreTokens(_special(path))
-        for batch in batches:
-            for part in c.slices(batch, "t"):
-                chunks: Counter = Counter()
-                for t in part.column("t").to_pylist():
-                    if t:
-                        chunks.update(pre.chunks(t))
-                found: Counter = Counter()
-                for chunk, n in chunks.items():
-                    for p in pre.of(chunk):
+        chunks: Counter = Counter()
+        found: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            for chunk, n in chunks.items():
+                if n:
+                    for p in pre.after_space(chunk):
                         found[p] += n
-                yield pa.record_batch({"pretoken": pa.array(found.keys(), pa.string()), "n": pa.array(found.values(), pa.int64())})
+            done = pa.record_batch({"pretoken": pa.array(found.keys(), pa.string()), "n": pa.array(found.values(), pa.int64())})
+            chunks.clear()
+            found.clear()
+            return done
+
+        for batch in batches:
+            for part in c.slices(batch, "t", 1 << 20):
+                lists = [p.split(" ") for t in part.column("t").to_pylist() if t for p in pre.parts(t)[0]]
+                own: Counter = Counter()
+                for x in lists:
+                    head_, x[0] = x[0], None
+                    own.update(x)
+                    x[0] = head_
+                own.pop(None, None)
+                odd = {x for x in own if not pre.plain(x)}
+                for x in lists:
+                    if (odd and not odd.isdisjoint(x)) or (x[0] and not pre.plain(x[0])):
+                        own.subtract(x[1:])
+                        found.update(pre.find(" ".join(x)))
+                    elif x[0]:
+                        found.update(pre.find(x[0]))
+                chunks.update(own)
+                if len(chunks) > 150_000:
+                    yield out()
+        yield out()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _load(path)
         for batch in batches:
-            for part in c.slices(batch, "pretoken", 1 << 20):
+            for part in c.slices(batch, "pretoken", 1 << 16):
                 got = tok.encode_batch_fast(part.column("pretoken").to_pylist(), add_special_tokens=False)
                 yield pa.record_batch({"pretoken": part.column("pretoken"), "n": part.column("n"), "pieces": pa.array([len(e) for e in got], pa.int64())})
 
@@ -137,26 +147,58 @@ def count(docs: DataFrame, path: str, *, text: str = "text", head: int = HEAD) -
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre, common = PreTokens(_special(path)), shared.value
-        none = (None, 0)
         sums: dict[str, tuple[int, list[str]]] = {}
+
+        def split(pretokens: list[str]) -> tuple[int, list[str] | None]:
+            """Pieces of those that are common, and the others."""
+            rest = [p for p in pretokens if p not in common]
+            return sum([common[p] for p in pretokens if p in common]), rest or None
+
         for batch in batches:
-            for part in c.slices(batch, "t", 4 << 20):
+            for part in c.slices(batch, "t", 1 << 20):
                 ids, hs = part.column("doc_id").to_pylist(), part.column("h").to_pylist()
                 out: tuple[list, ...] = ([], [], [], [], [], [], [])
                 for doc_id, h, t in zip(ids, hs, part.column("t").to_pylist()):
-                    tokens, rest = pre.n_special(t), {}
-                    for chunk, n in pre.chunks(t).items():
-                        got = sums.get(chunk)
-                        if got is None:
-                            ps = pre.of(chunk)
-                            got = (sum(common.get(p, 0) for p in ps), [p for p in ps if p not in common])
-                            if len(chunk) <= 64:
-                                if len(sums) > 200_000:
-                                    sums.clear()
-                                sums[chunk] = got
-                        tokens += n * got[0]
-                        for p in got[1]:
-                            rest[p] = rest.get(p, 0) + n
+                    stretches, tokens = pre.parts(t)
+                    rest: dict[str, int] = {}
+                    for stretch in stretches:
+                        chunks = stretch.split(" ")
+                        head_ = chunks[0]
+                        counts = Counter(chunks)
+                        counts[head_] -= 1
+                        whole, own = False, 0
+                        todo = []
+                        for chunk, n in counts.items():
+                            if n:
+                                got = sums.get(chunk)
+                                if got is None:
+                                    if not pre.plain(chunk):
+                                        whole = True
+                                        break
+                                    got = split(pre.after_space(chunk))
+                                    if len(chunk) <= 64:
+                                        if len(sums) > 100_000:
+                                            sums.clear()
+                                        sums[chunk] = got
+                                own += n * got[0]
+                                if got[1]:
+                                    todo.append((got[1], n))
+                        if whole or (head_ and not pre.plain(head_)):
+                            own, todo = 0, []
+                            for p, n in pre.whole(stretch).items():
+                                if p in common:
+                                    own += n * common[p]
+                                else:
+                                    todo.append(([p], n))
+                        elif head_:
+                            got = split(pre.find(head_))
+                            own += got[0]
+                            if got[1]:
+                                todo.append((got[1], 1))
+                        tokens += own
+                        for ps, n in todo:
+                            for p in ps:
+                                rest[p] = rest.get(p, 0) + n
                     for col, v in zip(out, (doc_id, h, None, 1, 1, len(t.encode()), tokens)):
                         col.append(v)
                     m = len(rest)
