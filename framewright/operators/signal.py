@@ -89,13 +89,13 @@ def embedding(power: DataFrame, key: str, rate: int, size: int = 512) -> DataFra
     filters = spark.createDataFrame(mel_filters(rate, size), "m int, bin int, w double")
     cosines = spark.createDataFrame(
         [(k, m, math.sqrt((1 if k == 0 else 2) / COEFFICIENTS) * math.cos(math.pi * k * (2 * m + 1) / (2 * COEFFICIENTS))) for k in range(COEFFICIENTS) for m in range(COEFFICIENTS)],
-        "k int, m int, w double",
+        "_k int, m int, w double",
     )
     every = power.select(key).distinct().withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(COEFFICIENTS - 1))))
     energy = power.join(F.broadcast(filters), "bin").groupBy(key, "m").agg(F.sum(F.col("power") * F.col("w")).alias("e"))
     logs = every.join(energy, [key, "m"], "left").withColumn("e", F.log(F.greatest(F.coalesce("e", F.lit(0.0)), F.lit(1e-10))))
-    c = logs.join(F.broadcast(cosines), "m").groupBy(key, "k").agg(F.sum(F.col("e") * F.col("w")).alias("c"))
-    v = c.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("_v")).select(key, F.transform("_v", lambda s: s["c"]).alias("v"))
+    c = logs.join(F.broadcast(cosines), "m").groupBy(key, "_k").agg(F.sum(F.col("e") * F.col("w")).alias("c"))
+    v = c.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_k", "c"))).alias("_v")).select(key, F.transform("_v", lambda s: s["c"]).alias("v"))
     n = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     return v.select(key, F.when(n > 0, F.transform("v", lambda x: x / n)).otherwise(F.col("v")).alias("embedding"))
 
