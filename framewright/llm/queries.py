@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, language_id, license_scan, mixing, quality_fm, quality_rules, substring_dedup, token_counts
+from . import chat_format, decontaminate, jaccard_join, language_id, license_scan, mixing, oracles, quality_fm, quality_rules, substring_dedup, token_counts
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -120,4 +120,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-SQL: dict[str, str] = {}
+#: SQL can express neither byte-pair merges, SimHash candidates nor trained models: those are tested against brute force,
+#: the tokenizers library and held-out rows.
+SQL: dict[str, str] = {
+    "op4_chat_formatting": oracles.OP4,
+    "op5_jaccard_join": oracles.OP5,
+    "op7_quality_rules": oracles.OP7,
+    "op8_source_mixing": oracles.OP8,
+    "op10_substring_dedup": oracles.OP10,
+}
