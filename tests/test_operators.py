@@ -197,3 +197,23 @@ def test_streams(spark, data, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("levels").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_inner_layouts(spark):
+    from framewright.sources import payloads as p
+
+    codes = np.arange(12, dtype=np.int16).reshape(3, 4)
+    for layer, fields in ((p.PLAIN, {}), (p.PROJECTED, {"seed": 5, "chunk": 128, "n_proj": 64, "bits": b"ab", "hf_n_proj": 32, "hf_bits": b"c"}), (p.LOSSLESS, {"residual": np.array([1, -2], np.int16)})):
+        back = p.read_audio_payload(p.audio_payload(codes, layer, **fields))
+        assert (back["codes"] == codes).all() and back["layer"] == layer
+        assert all(np.array_equal(back[k], v) for k, v in fields.items())
+    first = struct.pack("<BI", 3, 4) + p._zstd(codes.tobytes())
+    assert (p.read_audio_payload(first)["codes"] == codes).all()
+    x = np.random.default_rng(0).standard_normal((50, 30)) * 0.3
+    back = p.read_polar_payload(p.polar_payload(x, 8, 8))
+    assert np.abs(back[:, :24] - x[:, :24]).max() <= np.abs(x).max() / 127 and np.abs(back - x).max() < 0.1
+    frames = [(0, 0, 0, b"i"), (1, 1, 0, b""), (4, 1, 0, b"pp")]
+    data = p.legacy_video(frames, (64, 48), 2, 5, seed=9)
+    assert p.read_legacy_video(data)["frames"] == frames
+    rows = p.legacy_frames(spark.createDataFrame([("f", data)], "file string, payload binary")).collect()
+    assert [(r.frame_idx, r.seed, bytes(r.data)) for r in rows] == [(0, 9, b"i"), (1, 8, b""), (4, 13, b"pp")]
