@@ -26,10 +26,12 @@ def components(edges: DataFrame) -> DataFrame:
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("c").alias("c"))
         )
-        best = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "c").alias("comp"))
+        best = labels.select("node", "comp").join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "c").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
         nxt = c.materialize(best.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("top", "comp")).alias("comp")), "labels")
         changed = not nxt.filter("old <> comp").isEmpty()
-        labels = nxt.select("node", "comp")
+        c.discard(labels)
+        labels = nxt
         if not changed:
-            return labels
+            c.discard(both)
+            return labels.select("node", "comp")

@@ -12,7 +12,8 @@ shares fewer signatures than that with all others together has no partner and is
 set with too few shingles that occur in any other of those that are left.
 
 Copies are one node. Instead of all pairs of a bucket, nodes are verified against a hub of theirs, what links is
-merged, and this repeats for what is still apart; the pairs that are left across components are then all verified.
+merged, and this repeats for what is still apart; of what is left, all pairs across components that share one of their
+rarest shingles (the prefix filter, which no link escapes) are then verified.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -31,7 +33,8 @@ from .substring_dedup import window_hashes
 
 #: Sets a task gathers before it sends its signatures, and text bytes for each bucket of the exchange.
 FLUSH_SHINGLES, BUCKET_BYTES = 2_000_000, 8 << 20
-HUB_ROUNDS = 3
+#: Hubs that each node is verified against in the rounds before all remaining pairs are.
+PICKS = (3, 6)
 _U = np.uint64
 
 
@@ -353,36 +356,80 @@ def links(docs: DataFrame, nodes: DataFrame, *, percent: int, width: int, text:
     left = able.join(fine, "node")
     shared = left.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("sig")
     cand = c.materialize(left.join(shared, "sig"), "candidates")
-    schema = "a long, b long, linked boolean"
-    tested = spark.createDataFrame([], schema)
-    labels = cand.select("node").distinct().withColumn("comp", F.col("node"))
-    for rnd in range(HUB_ROUNDS + 1):
-        at = cand.join(labels, "node")
-        apart = at.groupBy("sig").agg(F.min(F.struct("comp", "node")).alias("hub"), F.max("comp").alias("last")).filter("hub.comp <> last")
-        apart = c.materialize(at.join(apart, "sig"), "apart")
+    c.discard(able)
+    tested = spark.createDataFrame([], "a long, b long, linked boolean")
+    labels, live = None, cand
+    for rnd in range(len(PICKS) + 1):
+        if labels is None:
+            apart = live.withColumn("comp", F.col("node"))
+        else:
+            at = live.select("sig", "node").join(labels, "node").select("sig", "node", "comp")
+            ends = at.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
+            apart = c.materialize(at.join(ends, "sig"), "apart")  # signatures whose nodes are in several components so far
+            c.discard(live)
+            live = apart
         if apart.isEmpty():
             break
-        if rnd < HUB_ROUNDS:
-            # each node against one hub: the choice among its hubs changes from round to round
-            to_hub = apart.filter("comp <> hub.comp").select("node", F.col("hub.node").alias("h"))
-            one = to_hub.groupBy("node").agg(F.min(F.struct(F.xxhash64("h", F.lit(rnd)).alias("r"), "h")).alias("m"))
-            pairs = one.select(F.least("node", "m.h").alias("a"), F.greatest("node", "m.h").alias("b")).distinct()
+        if rnd < len(PICKS):
+            pairs = _hub_pairs(apart, rnd, PICKS[rnd])
         else:
-            x = apart.select("sig", F.col("node").alias("a"), F.col("comp").alias("ca"))
-            y = apart.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"))
-            pairs = x.join(y, "sig").filter("ca <> cb and a < b").select("a", "b").distinct()
+            pairs = _prefix_pairs(sets.join(apart.select("node", "comp").distinct(), "node"), percent)
         pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        done = c.materialize(_verify(pairs, sets, percent), "verified")
-        tested = tested.unionByName(done)
-        links_ = tested.filter("linked").select("a", "b")
-        if rnd == HUB_ROUNDS:
-            break
-        found = components(links_)
-        labels = cand.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-        labels = c.materialize(labels, "labels")
+        tested = tested.unionByName(c.materialize(_verify(pairs, sets, percent), "verified"))
+        if rnd < len(PICKS):
+            found = components(tested.filter("linked").select("a", "b"))
+            nodes_left = apart.select("node").distinct()
+            labels = nodes_left.join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    c.discard(sets)
     return tested.filter("linked").select("a", "b")
 
 
+def _hub_pairs(apart: DataFrame, rnd: int, picks: int, hubs: int = 3) -> DataFrame:
+    """(a, b): for each node the `picks` hubs of other components that it shares the most signatures with.
+
+    A signature's hubs are those of its nodes with the smallest hashes, which differ between signatures and rounds."""
+    rank = lambda j: F.xxhash64("node", "sig", F.lit(100 * rnd + j))
+    few = apart.groupBy("sig").agg(
+        *[F.min_by("node", rank(j)).alias(f"h{j}") for j in range(hubs)], *[F.min_by("comp", rank(j)).alias(f"c{j}") for j in range(hubs)]
+    )
+    each = F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"h{j}").alias("h"), F.col(f"c{j}").alias("c")) for j in range(hubs)]))).alias("m")
+    met = apart.join(few, "sig").select("node", "comp", each).filter("m.c <> comp").groupBy("node", F.col("m.h").alias("h")).agg(F.count("*").alias("m"))
+    best = F.row_number().over(W.partitionBy("node").orderBy(F.desc("m"), F.xxhash64("h")))
+    pairs = met.withColumn("_i", best).filter(F.col("_i") <= picks)
+    return pairs.select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b")).distinct()
+
+
+def _prefix_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that can still link, from rows (node, comp, shingles): all of them.
+
+    With the shingles of all sets in one order, two sets of n and m shingles that link share one of the first
+    n - ceil(n * percent / 100) + 1 and m - ... + 1. The order is by frequency, the rarest first, so the pairs that share
+    only what many sets have don't meet.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in c.slices(whole, "shingles", 4 << 20):
+                each = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column("shingles")]
+                n = np.array([len(e) for e in each])
+                many = lambda v: pa.array(np.repeat(v.to_numpy(zero_copy_only=False), n))
+                yield pa.record_batch([many(batch.column("node")), many(batch.column("comp")), pa.array(np.repeat(n, n)), pa.array(np.concatenate(each))], names=["node", "comp", "n", "token"])
+
+    tokens = rest.select("node", "comp", "shingles").mapInArrow(spread, "node long, comp long, n long, token long")
+    often = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(W.partitionBy("node").orderBy("df", "token"))
+    first = tokens.join(often, "token").withColumn("_i", place).filter(F.col("_i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    first = c.materialize(first.filter("df > 1").select("token", "node", "comp", "n", (F.col("n") - F.col("_i") + 1).alias("left")), "prefixes")
+    side = lambda x: first.select("token", F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("left").alias(f"l{x}"))
+    # sizes have to fit, and at the first common shingle what is left of both has to suffice
+    met = (
+        (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
+        & (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+        & ((100 + percent) * F.least("la", "lb") >= percent * (F.col("na") + F.col("nb")))
+    )
+    return side("a").join(side("b"), "token").filter(met).select("a", "b").distinct()
+
+
 def join(docs: DataFrame, *, percent: int = 75, width: int = 5, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs`.
 
