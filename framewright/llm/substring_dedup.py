@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -287,17 +287,23 @@ def _resolve(table: pa.Table) -> pa.Table:
     return _out(*cols)
 
 
-def repeats(docs: DataFrame, *, window: int = WINDOW, text: str = "text") -> DataFrame:
+def text_key(docs: DataFrame, text: str) -> Column:
+    """What tells apart the texts of one doc_id: a hash of the text if some doc_id occurs again, else nothing."""
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    return F.lit(0) if again.isEmpty() else F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int")
+
+
+def repeats(docs: DataFrame, *, window: int = WINDOW, text: str = "text", key: Column | None = None) -> DataFrame:
     """(doc, h, s, e): windows starting at words s..e of that document repeat an earlier window.
 
-    doc is doc_id, with the largest long for null; h tells texts apart that share a doc_id. Earlier: a smaller doc_id,
+    doc is doc_id, with the largest long for null; h is the text_key. Earlier: a smaller doc_id,
     or the same and a smaller start.
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(256, size // BUCKET_BYTES)
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"),
-        F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int").alias("h"),
+        (text_key(docs, text) if key is None else key).alias("h"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"),
     )
 
@@ -323,12 +329,13 @@ def remove(docs: DataFrame, *, window: int = WINDOW, text: str = "text") -> Data
     Equal rows get equal results and don't repeat each other. An empty table gives an empty result. Texts are never cut.
     Other columns pass through; those with the names above are replaced.
     """
-    found = c.materialize(repeats(docs, window=window, text=text), "repeats")
+    key = text_key(docs, text)
+    found = c.materialize(repeats(docs, window=window, text=text, key=key), "repeats")
     by_doc = found.groupBy("doc", "h").agg(F.collect_list(F.struct("s", "e")).alias("_ranges")).withColumnsRenamed({"doc": "_doc", "h": "_h"})
     left = (
         docs.drop("n_words", "n_removed", "kept_text")
         .withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
-        .withColumn("_h", F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int"))
+        .withColumn("_h", key)
     )
     joined = left.join(by_doc, ["_doc", "_h"], "left").drop("_doc", "_h")
     names = [x for x in joined.columns if x != "_ranges"]
