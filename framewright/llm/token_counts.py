@@ -22,7 +22,7 @@ from . import common as c
 #: Fixed value: the published pre-token pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens joined by broadcast, and the longest that may be among them.
-HEAD, HEAD_CHARS = 1 << 17, 32
+HEAD, HEAD_CHARS = 1 << 18, 32
 
 
 class PreTokens:
@@ -126,6 +126,22 @@ def pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return once.mapInArrow(cut, "pretoken string, n long, pieces long")
 
 
+def most_frequent(known: DataFrame, head: int) -> DataFrame:
+    """The rows with the largest n, at most `head`: all above a bound read off a histogram of log-linear buckets of n.
+
+    The histogram has 64 rows for each power of two, so what the driver gets doesn't grow with the number of tasks.
+    """
+    bucket = F.expr("shiftleft(shiftright(n, greatest(0, length(bin(n)) - 7)), greatest(0, length(bin(n)) - 7))")
+    rows = known.groupBy(bucket.alias("low")).agg(F.count("*").alias("m")).collect()
+    total, bound = 0, None
+    for r in sorted(rows, key=lambda r: -r.low):
+        total += r.m
+        if total > head:
+            break
+        bound = r.low
+    return known.filter(F.col("n") >= bound) if bound is not None else known.limit(0)
+
+
 def count(docs: DataFrame, path: str, *, text: str = "text", head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens for every row of `docs`, without begin, end or added special tokens.
 
@@ -135,12 +151,7 @@ def count(docs: DataFrame, path: str, *, text: str = "text", head: int = HEAD) -
     """
     spark = docs.sparkSession
     known = c.materialize(pieces(docs, path, text), "pieces")
-    top = (
-        known.filter(F.length("pretoken") <= HEAD_CHARS)
-        .orderBy(F.desc("n"), "pretoken")
-        .limit(head)
-        .select("pretoken", "pieces")
-    )
+    top = most_frequent(known.filter(F.length("pretoken") <= HEAD_CHARS), head).select("pretoken", "pieces")
     # at most `head` rows of at most HEAD_CHARS characters, whatever the corpus
     shared = spark.sparkContext.broadcast({r[0]: r[1] for r in top.collect()})
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
