@@ -471,7 +471,7 @@ _RES = f"SELECT user_id, idx, value, count(*) OVER (PARTITION BY user_id) AS n F
 @query(
     "lerp_resample",
     f"WITH s AS ({_RES}), g AS (SELECT user_id, n, unnest(range(n * 3 // 2)) AS j, n * 3 // 2 AS m FROM (SELECT DISTINCT user_id, n FROM s)), p AS (SELECT user_id, j, CASE WHEN m > 1 THEN j * ((n - 1) / (m - 1)::DOUBLE) ELSE 0.0 END AS x, n FROM g) "
-    "SELECT p.user_id, p.j, round(a.value + (b.value - a.value) * (x - a.idx), 6) + 0.0 AS value FROM p JOIN s a ON a.user_id = p.user_id AND a.idx = least(CAST(floor(x + 1e-9) AS BIGINT), p.n - 1) JOIN s b ON b.user_id = p.user_id AND b.idx = least(a.idx + 1, p.n - 1)",
+    "SELECT p.user_id, p.j, round(a.value * (1 - least(greatest(x - a.idx, 0.0), 1.0)) + b.value * least(greatest(x - a.idx, 0.0), 1.0), 6) + 0.0 AS value FROM p JOIN s a ON a.user_id = p.user_id AND a.idx = least(CAST(floor(x + 1e-9) AS BIGINT), p.n - 1) JOIN s b ON b.user_id = p.user_id AND b.idx = least(a.idx + 1, p.n - 1)",
 )
 def _(spark, d):
     return sq.resample(_signal(spark, d), ["user_id"], "idx", "value", 2, 3).select("user_id", "j", _r("value").alias("value"))
