@@ -8,6 +8,10 @@ item's windows. Fingerprints are 64-bit SimHashes of the windows' words. Four in
 fingerprints within RADIUS = 3 bits: of four blocks at least one is equal. Every such candidate is verified by the weighted
 Jaccard similarity (sum of minima over sum of maxima of counts) of 5-word shingles between the item and the document's words
 at the place where the item would lie.
+
+These windows miss most changed copies, so an item is represented by sub-windows of WIDTH words as well, as many of its rarest
+as a copy of the required similarity cannot all lack. Documents are fingerprinted at every word for these, equal fingerprints
+are candidates, and all places around such a candidate are tried: every pair of the required similarity is found.
 """
 
 from __future__ import annotations
@@ -29,8 +33,9 @@ PIECE_WORDS = 60_000
 _U = np.uint64
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def words_of(text: bytes) -> list[str]:
+    """Lower case and white space are Unicode's."""
+    return text.decode("utf-8", "replace").lower().split()
 
 
 def ladder(words: int) -> tuple[int, int]:
@@ -65,7 +70,7 @@ def simhashes(sums: np.ndarray, size: int, starts: np.ndarray) -> np.ndarray:
     return np.packbits(counts > size // 2, axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
-def shingles(words: list[bytes], width: int = WIDTH) -> Counter:
+def shingles(words: list[str], width: int = WIDTH) -> Counter:
     """Counts of `width`-word shingles; fewer words are one shingle."""
     if len(words) < width:
         return Counter([tuple(words)] if words else [])
@@ -78,22 +83,67 @@ def similarity(a: Counter, b: Counter) -> tuple[int, int]:
     return low, sum(a.values()) + sum(b.values()) - low
 
 
+def best_place(words: list[str], n: int, known: Counter, hits: list[int], percent: int) -> tuple[int, int, int] | None:
+    """(start, low, high) of the place most similar to the item (of n words), the first of equal ones, if percent or more.
+
+    A place is n words, less what lies before or after the text. Only places with one of `hits` (sorted numbers of
+    shingles of the text) are tried.
+    """
+    width = min(n, WIDTH)
+    m, total = n - width + 1, len(words) - width + 1
+    best = None
+    at = 0
+    while at < len(hits):
+        first = hits[at] - m + 1  # places from first to last, whose shingles run to last + m - 1
+        while at + 1 < len(hits) and hits[at + 1] - m < hits[at] + 1:
+            at += 1
+        last = hits[at]
+        at += 1
+        base, end = max(0, first), min(total, last + m)
+        own = [tuple(words[i : i + width]) for i in range(base, end)]
+        own = [g if g in known else None for g in own]
+        if 100 * (len(own) - own.count(None)) < percent * m:
+            continue
+        count: dict = {}
+        low = 0
+        for i in range(base, last + m):  # shingle i comes, shingle i - m goes: the place begins at i - m + 1
+            g = own[i - base] if i < end else None
+            if g:
+                count[g] = k = count.get(g, 0) + 1
+                low += k <= known[g]
+            g = own[i - m - base] if i - m >= base else None
+            if g:
+                low -= count[g] <= known[g]
+                count[g] -= 1
+            start = i - m + 1
+            if start < first:
+                continue
+            high = m + min(total, start + m) - max(0, start) - low
+            if 100 * low >= percent * high and (best is None or low * best[2] > best[1] * high):
+                best = max(0, start), low, high
+    return best
+
+
 class Index:
     """The fingerprints of one block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, bytes]]) -> None:
+    def __init__(self, items: list[tuple[int, bytes]], percent: int = PERCENT) -> None:
         hasher = c.WordHasher()
         longest = max((ladder(len(words_of(t)))[0] for _, t in items), default=1)
         self.items = []  # id, number of words, shingles
         sizes: dict[tuple[int, int], list] = {}
+        sub: dict[int, list[tuple[int, list[int]]]] = {}
         for item_id, text in items:
             w = words_of(text)
             if not w:
                 continue
             size, stride = ladder(len(w))
             at = np.arange(stride)
-            fp = simhashes(running(c.mix(hasher(w)), longest), size, at)
+            sums = running(c.mix(hasher(w)), longest)
+            fp = simhashes(sums, size, at)
             k = len(self.items)
+            width = min(len(w), WIDTH)
+            sub.setdefault(width, []).append((k, simhashes(sums, width, np.arange(len(w) - width + 1)).tolist()))
             self.items.append((item_id, len(w), shingles(w)))
             sizes.setdefault((size, stride), []).extend((int(f), k, int(o)) for f, o in zip(fp, at))
         self.classes = []
@@ -106,6 +156,62 @@ class Index:
                 first = np.searchsorted(block[o], np.arange(65537))
                 tables.append((o, first, np.diff(first) > 0))
             self.classes.append((size, stride, fp, [r[1] for r in rows], [r[2] for r in rows], tables))
+        self.percent = percent
+        self.subwindows = [(width, *self.selected(rows, percent)) for width, rows in sorted(sub.items())]
+
+    @staticmethod
+    def selected(rows: list[tuple[int, list[int]]], percent: int):
+        """(mask, all fingerprints, the selected ones, their items) from (item, fingerprints of its sub-windows), sorted.
+
+        Of m sub-windows a copy shares at least percent of m, so it shares one of any m - that + 1. Selected are those in the
+        fewest items.
+        """
+        spread = Counter(f for _, fps in rows for f in set(fps))
+        pairs = []
+        for k, fps in rows:
+            m, seen = len(fps), 0
+            count = Counter(fps)
+            for f in sorted(count, key=lambda f: (spread[f], f)):
+                pairs.append((f, k))
+                seen += count[f]
+                if seen > m - max(1, -(-percent * m // 100)):
+                    break
+        pairs.sort()
+        every = np.array(sorted(spread), _U)
+        mask = np.zeros(1 << 20, bool)
+        mask[(every & _U(len(mask) - 1)).astype(np.int64)] = True
+        return mask, every, np.array([f for f, _ in pairs], _U), np.array([k for _, k in pairs], np.int64)
+
+    def places(self, sums: np.ndarray, lengths: np.ndarray, begin: np.ndarray):
+        """Arrays (text, item, place) of the selected sub-windows near which as many sub-windows of any items lie as the item needs."""
+        number = np.array([n for _, n, _ in self.items], np.int64)
+        for width, mask, every, some, item in self.subwindows:
+            count = np.maximum(lengths - width + 1, 0)
+            own = np.repeat(np.arange(len(lengths)), count)
+            starts = begin[own] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            at, fps = [], []
+            for lo in range(0, len(starts), 50_000):
+                fp = simhashes(sums, width, starts[lo : lo + 50_000])
+                hit = np.flatnonzero(mask[(fp & _U(len(mask) - 1)).astype(np.int64)])
+                fp = fp[hit]
+                real = every[np.minimum(np.searchsorted(every, fp), len(every) - 1)] == fp
+                at.append(hit[real] + lo)
+                fps.append(fp[real])
+            if not sum(map(len, at)):
+                continue
+            at, fps = np.concatenate(at), np.concatenate(fps)
+            first = np.searchsorted(some, fps, "left")
+            m = np.searchsorted(some, fps, "right") - first
+            place = starts[at]
+            for lo in range(0, len(at), 2_000):
+                n, f = m[lo : lo + 2_000], first[lo : lo + 2_000]
+                i = np.repeat(np.arange(lo, lo + len(n)), n)
+                k = item[np.repeat(f, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                span = number[k] - width + 1
+                around = np.searchsorted(place, place[i] + span, "left") - np.searchsorted(place, place[i] - span, "right")
+                ok = 100 * around >= self.percent * span
+                i, k = i[ok], k[ok]
+                yield own[at[i]], k, place[i] - begin[own[at[i]]]
 
     def near(self, found: np.ndarray, fp: np.ndarray, tables) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row of found, row of fp) within RADIUS: exact, by equal blocks first."""
@@ -129,11 +235,14 @@ class Index:
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
-    def search(self, texts: list[bytes], hasher: c.WordHasher, percent: int = PERCENT):
+    def search(self, texts: list[bytes], hasher: c.WordHasher):
         """(text's number, item_id, first word, low, high) for every verified match, the best for each text and item."""
         best: dict[tuple[int, int], tuple] = {}
+        percent = self.percent
+        hits: dict[tuple[int, int], set[int]] = {}
         longest = max((size for size, *_ in self.classes), default=1)  # as in the index
-        group: list[tuple[int, int, list[bytes], np.ndarray]] = []
+        overlap = max([2 * longest, *(n for _, n, _ in self.items)])
+        group: list[tuple[int, int, list[str], np.ndarray]] = []
         total = 0
 
         def done() -> None:
@@ -142,6 +251,9 @@ class Index:
             sums = running(c.mix(np.concatenate([g[3] for g in group])), longest)
             lengths = np.array([len(g[3]) for g in group])
             begin = np.cumsum(lengths) - lengths
+            for own, items, places in self.places(sums, lengths, begin):
+                for x, k, place in zip(own.tolist(), items.tolist(), places.tolist()):
+                    hits.setdefault((group[x][0], k), set()).add(group[x][1] + place)
             for size, stride, fp, item, offset, tables in self.classes:
                 count = np.where(lengths >= size, (lengths - size) // stride + 1, 0)
                 if not count.sum():
@@ -172,22 +284,30 @@ class Index:
         for number, words in enumerate(split):
             h = hashes[at : at + len(words)]
             at += len(words)
-            # pieces overlap by two windows, so that each window and its stride's next one lie in one piece
+            # pieces overlap by two windows, so that each window and its stride's next one lie in one piece, and by an item
             for lo in range(0, len(words), PIECE_WORDS):
-                group.append((number, lo, words, h[lo : lo + PIECE_WORDS + 2 * longest]))
+                group.append((number, lo, words, h[lo : lo + PIECE_WORDS + overlap]))
                 total += len(group[-1][3])
                 if total > PIECE_WORDS:
                     done()
                     total = 0
         done()
+        for (number, k), at in hits.items():
+            item_id, n, known = self.items[k]
+            found = best_place(split[number], n, known, sorted(at), percent)
+            if found:
+                start, low, high = found
+                old = best.get((number, k))
+                if old is None or (low * old[4], -start) > (old[3] * high, -old[2]):
+                    best[number, k] = (number, item_id, start, low, high)
         return list(best.values())
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """(doc_id, h, item_id, start, similarity): items found in documents; start is a word's number, h a hash of the text.
 
-    Exact copies of an item (other case or white space aside) are always found; a changed copy is found if a window of
-    the item's ladder size is within RADIUS bits, and reported if the weighted similarity is percent or more.
+    Every item is found (other case or white space aside) whose weighted similarity to as many words of the document in a
+    row, or to what the document's ends leave of them, is percent or more; percent is 1 at least.
     Null or empty texts, and items without words, match nothing. Repeated rows are reported for each row; items with equal
     texts each. A null doc_id is carried through. An empty table on either side gives an empty result.
     """
@@ -200,14 +320,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, percent: int = PERCENT, te
     for k in range(blocks):
         # about BLOCK_ITEMS items each: bounded however many there are
         block = items.filter(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == k)
-        index = spark.sparkContext.broadcast(Index([(r[0], bytes(r[1])) for r in block.orderBy("item_id", "t").collect()]))
+        index = spark.sparkContext.broadcast(Index([(r[0], bytes(r[1])) for r in block.orderBy("item_id", "t").collect()], percent))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             hasher = c.WordHasher()
             for batch in batches:
                 for part in c.slices(batch, "t", 2 << 20):
                     ids, hs = part.column("doc_id").to_pylist(), part.column("h").to_pylist()
-                    found = index.value.search(part.column("t").to_pylist(), hasher, percent)
+                    found = index.value.search(part.column("t").to_pylist(), hasher)
                     yield pa.record_batch([
                         pa.array([ids[x[0]] for x in found], pa.int64()), pa.array([hs[x[0]] for x in found], pa.int64()),
                         pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()),

@@ -130,6 +130,34 @@ def test_decontamination(spark, odd):
     assert decontaminate.clean(odd, bench).count() == odd.count()
 
 
+def test_decontamination_finds_every_near_copy(monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 300)
+    word = lambda: f"ü{rng.randrange(3000)}"
+    items = [[word() for _ in range(n)] for n in (3, 5, 8, 15, 30, 30, 41, 60, 60, 150, 400)]
+    items[5][:12] = items[4][:12]
+    items[8] = items[8][:15] * 4
+    texts = []
+    for x in items * 12:
+        w = list(x)
+        for _ in range(rng.randrange(1 + max(1, len(w) // 40))):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = [word()] * rng.randrange(2)
+        texts.append([word() for _ in range(rng.choice((0, 0, 40, 290)))] + w[rng.choice((0, 0, 1)) :] + [word() for _ in range(rng.choice((0, 0, 40, 310)))])
+    want = {}
+    for a, w in enumerate(texts):
+        for k, x in enumerate(items):
+            known = decontaminate.shingles(x)
+            for start in range(-len(x), len(w)):
+                low, high = decontaminate.similarity(decontaminate.shingles(w[max(0, start) : max(0, start + len(x))]), known)
+                if high and 100 * low >= 75 * high:
+                    want[a, k] = max(want.get((a, k), 0), low / high)
+    index = decontaminate.Index([(k, " ".join(x).encode()) for k, x in enumerate(items)])
+    found = index.search([" ".join(w).upper().encode() for w in texts], common.WordHasher())
+    assert {(r[0], r[1]): r[3] / r[4] for r in found} == want
+    assert len(want) > 100 and sum(s < 1 for s in want.values()) > 40
+
+
 def test_hamming_index_is_exact():
     rng = np.random.default_rng(2)
     known = rng.integers(0, 2**63, 300).astype(np.uint64)
