@@ -3,8 +3,10 @@
 A multinomial logistic regression over word 1- and 2-grams tells licence families and an unknown class apart. It is trained
 here, on the driver, from the notices below and from the negatives; its probabilities are calibrated by a temperature and a
 threshold fitted on variants left out of training. Only the non-zero weights matter: a paragraph without any word of the
-model has the logits of an empty one, which is unknown, so such paragraphs are passed over. What is predicted is confirmed by
-the Dice similarity of its words to the nearest notice of the family. Documents are never joined or shuffled.
+model has the logits of an empty one, which is unknown, so such paragraphs are passed over. Paragraphs longer than CHUNK words
+are classified as a whole and in overlapping chunks, so that a notice within a long text is seen with few words around it. What
+is predicted is confirmed by the nearest notice of the family: by the Dice similarity of all words, or by the share of the
+notice's words that stand in a window as long as the notice. Documents are never joined or shuffled.
 """
 
 from __future__ import annotations
@@ -104,8 +106,10 @@ FUNCTION_WORDS = set(
     "a all an and any are as at be been below but by can do for from had has have he her here his i if in into is it its me may met more no not of on one or our "
     "see she so than that the their them then there these they this to under up via was we were what which who will with without work you your".split()
 )
-#: Dice similarity to a notice from which a prediction counts as confirmed.
+#: Similarity to a notice from which a prediction counts as confirmed.
 CONFIRM = 0.5
+#: Windows begin at STEP words of a chunk, which has MARGIN words more on either side of these windows.
+STEP, MARGIN = 12, 4
 _SPLIT = r"[^a-z0-9]+"
 
 
@@ -113,6 +117,10 @@ def _words(text: str) -> list[str]:
     return [w for w in re.split(_SPLIT, text.lower()) if w]
 
 
+#: Words of a chunk: a window as long as the longest notice may begin at each of its STEP words.
+CHUNK = MARGIN + STEP + max(len(_words(n)) for v in NOTICES.values() for n in v) + MARGIN
+
+
 def _light(word: str) -> bool:
     """Too common to be a feature by itself."""
     return word in FUNCTION_WORDS or word.isdigit() or len(word) == 1
@@ -177,8 +185,9 @@ def _word_array(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, model: Model | None = None, *, text: str = "text", unconfirmed: bool = False) -> DataFrame:
-    """doc_id, paragraph, family, probability, similarity, confirmed for every paragraph (line) with a confirmed licence family.
+    """doc_id, paragraph, family, probability, similarity, confirmed for every paragraph (line) and confirmed licence family in it.
 
+    A family is given once for a paragraph, with the similarity that is highest, the probability that is highest at equal ones.
     With unconfirmed=True also predictions that no notice of the family confirms; else those count as unknown. paragraph is the line's number from 0. Null and empty texts, and texts without a licence, give no row; repeated rows
     give their rows each; texts are scanned whole. An empty table gives an empty result. Other columns are ignored.
     """
@@ -194,7 +203,7 @@ def scan(docs: DataFrame, model: Model | None = None, *, text: str = "text", unc
     start = F.array(*[F.lit(float(v)) for v in m.bias])
     notices = F.expr(
         "map(" + ", ".join(
-            f"{text_of(k)}, array(" + ", ".join("array(" + ", ".join(map(text_of, sorted(set(_words(n))))) + ")" for n in v) + ")" for k, v in NOTICES.items()
+            f"{text_of(k)}, array(" + ", ".join(f"struct({len(_words(n))} AS n, array(" + ", ".join(map(text_of, sorted(set(_words(n))))) + ") AS w)" for n in v) + ")" for k, v in NOTICES.items()
         ) + ")"
     )
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("paragraph", "_line"))
@@ -206,23 +215,47 @@ def scan(docs: DataFrame, model: Model | None = None, *, text: str = "text", unc
         two = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 1)), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
         return F.array_distinct(F.filter(F.concat(w, two), lambda g: g.isin(m.vocabulary)))
 
-    def judged(w: Column, e: Column) -> Column:
+    def within(w: Column, first: Column, last: Column, n: Column) -> Column:
+        """The largest share of the notice's words in a window of its length that begins at word `first` to `last`."""
+        last = F.greatest(first, F.least(last, F.size(w) - n["n"]))
+        share = lambda i: F.size(F.array_intersect(F.slice(w, i + 1, n["n"]), n["w"])) / F.size(n["w"])
+        return F.array_max(F.transform(F.sequence(first, last), share))
+
+    def judged(w: Column, e: Column, first: Column, last: Column) -> Column:
         top = F.array_max(e)
         family = F.get(names, (F.array_position(e, top) - 1).cast("int"))
-        dice = lambda n: 2.0 * F.size(F.array_intersect(w, n)) / F.greatest(F.lit(1), F.size(n) + F.size(F.array_distinct(w)))
+        dice = lambda n: 2.0 * F.size(F.array_intersect(w, n["w"])) / F.greatest(F.lit(1), F.size(n["w"]) + F.size(F.array_distinct(w)))
+        near = lambda n: F.greatest(dice(n), within(w, first, last, n))
         return F.struct(
-            family.alias("family"),
+            F.coalesce(F.array_max(F.transform(notices[family], near)), F.lit(0.0)).alias("similarity"),
             (top / F.aggregate(e, F.lit(0.0), lambda a, v: a + v)).alias("probability"),
-            F.coalesce(F.array_max(F.transform(notices[family], dice)), F.lit(0.0)).alias("similarity"),
+            family.alias("family"),
         )
 
-    def classify(w: Column) -> Column:
+    def classify(p: Column) -> Column:
         scores = lambda g: F.transform(F.aggregate(g, start, add), lambda v: F.exp(v / m.temperature))
-        return c.let(grams(w), lambda g: c.let(scores(g), lambda e: judged(w, e)))
+        return c.let(grams(p["w"]), lambda g: c.let(scores(g), lambda e: judged(p["w"], e, p["first"], p["last"])))
 
-    # the generator keeps the result from being computed anew for each of its fields
-    found = F.filter(F.array(c.let(_word_array(F.col("_line")), classify)), lambda r: (r["family"] != UNKNOWN) & (r["probability"] > m.threshold))
-    out = lines.select("doc_id", "paragraph", F.explode(found).alias("_r")).select(
+    def parts(w: Column) -> Column:
+        """The words as a whole, and in chunks if they are many: words, and the first and last word where windows begin."""
+        part = lambda w, first, last: F.struct(w.alias("w"), first.alias("first"), last.alias("last"))
+
+        def chunk(i: Column) -> Column:
+            before = F.least(i, F.lit(MARGIN))
+            return part(F.slice(w, i - before + 1, before + CHUNK - MARGIN), before, before + STEP - 1)
+
+        chunks = F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(STEP)), chunk)
+        whole = F.array(part(w, F.lit(0), F.lit(CHUNK)))
+        return F.when(F.size(w) > CHUNK, F.concat(whole, F.filter(chunks, lambda p: F.exists(p["w"], lambda x: x.isin(words))))).otherwise(whole)
+
+    counts = lambda r: (r["family"] != UNKNOWN) & (r["probability"] > m.threshold) & (F.lit(unconfirmed) | (r["similarity"] >= CONFIRM))
+    best = lambda found: F.transform(
+        F.array_distinct(F.transform(found, lambda r: r["family"])), lambda f: F.array_max(F.filter(found, lambda r: r["family"] == f))
+    )
+    # the generators keep the results from being computed anew for each of their fields
+    found = lines.select("doc_id", "paragraph", F.explode(F.array(_word_array(F.col("_line")))).alias("_w"))
+    found = found.select("doc_id", "paragraph", F.explode(F.array(parts(F.col("_w")))).alias("_p"))
+    found = found.select("doc_id", "paragraph", F.explode(F.array(F.filter(F.transform("_p", classify), counts))).alias("_f"))
+    return found.select("doc_id", "paragraph", F.explode(best(F.col("_f"))).alias("_r")).select(
         "doc_id", "paragraph", "_r.family", "_r.probability", "_r.similarity", (F.col("_r.similarity") >= CONFIRM).alias("confirmed")
     )
-    return out if unconfirmed else out.filter("confirmed")

@@ -255,6 +255,25 @@ def test_licences(spark, odd):
     assert license_scan.scan(odd).count() == 0 and license_scan.scan(odd.limit(0)).count() == 0
 
 
+def test_licences_in_long_paragraphs(spark):
+    mit = """MIT License Copyright (c) 2020 A. Person. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+        copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
+        shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."""
+    prose = "They walked along the river for an hour and talked about the garden, the weather and the new bridge near the village. " * 12
+    rows = [(-1, "The sources of the tool are on the project page, where questions can be asked. Released under the MIT License."), (-2, " ".join(mit.split())), (-3, prose)]
+    want = {(-1, "MIT"), (-2, "MIT")}
+    for k, notices in license_scan.NOTICES.items():
+        for n in notices:
+            for cut in (0, 333, len(prose)):
+                want.add((len(rows), k))
+                rows.append((len(rows), prose[:cut] + " " + n + " " + prose[cut:]))
+    want |= {(len(rows), "GPL"), (len(rows), "BSD")}
+    rows.append((len(rows), prose + "Licensed under the GPL v3. " + prose + "Released under the BSD License. " + prose))
+    got = {(r.doc_id, r.family) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_chat(spark):
     texts = ["", "\\", "\\\\", "[INST]", "\\[INST]", "<|im_start|>", "<<SYS>>", "a<|im_sep|>b<|im_end|>\n<|im_start|>user<|im_sep|>", "<<s>>", "$1 \\$2", "é🙂<s>\\", "[INST", "<|im_end|", None, "\t\r\n \x0b"]
     rows = [(1, i, r, t) for i, (r, t) in enumerate((r, t) for r in ("user", "assistant", "as\nsi<|im_sep|>st", None) for t in texts)] + [(2, 0, "user", "x"), (2, 0, "user", "x"), (None, 1, "assistant", "n")]
