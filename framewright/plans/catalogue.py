@@ -477,10 +477,16 @@ def _(spark, d):
     return sq.resample(_signal(spark, d), ["user_id"], "idx", "value", 2, 3).select("user_id", "j", _r("value").alias("value"))
 
 
+#: Documents of one file in one container: their number follows the input, so that one stays small however many documents there are.
+VOLUME = 256
+
+
 def _entries(spark, d):
+    """Containers named by file and volume, file/volume."""
+    at = F.floor(F.col("doc_id") / 16)
     t = table(spark, d, "documents").select(
-        F.concat(F.lit("part-"), (F.col("doc_id") % 16).cast("string")).alias("file"),
-        F.floor(F.col("doc_id") / 16).cast("int").alias("entry_idx"),
+        F.concat(F.lit("part-"), (F.col("doc_id") % 16).cast("string"), F.lit("/"), F.floor(at / VOLUME).cast("string")).alias("file"),
+        F.pmod(at, F.lit(VOLUME)).cast("int").alias("entry_idx"),
         F.when(F.col("doc_id") % 2 == 0, container.IMAGE).otherwise(container.AUDIO).alias("modality"),
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".bin")).alias("name"),
         F.lit(3).cast("bigint").alias("width"),
@@ -492,15 +498,22 @@ def _entries(spark, d):
     return container.pack(t)
 
 
+def _unpacked(spark, d, metadata_only: bool = False) -> DataFrame:
+    """The entries, numbered over all volumes of their file (doc_ids without gaps give the numbers of the documents)."""
+    t = container.unpack(_entries(spark, d), metadata_only=metadata_only, path="file")
+    volume = F.substring_index("file", "/", -1).cast("bigint")
+    return t.withColumn("entry_idx", (volume * VOLUME + F.col("entry_idx")).cast("int")).withColumn("file", F.substring_index("file", "/", 1))
+
+
 @query("container_roundtrip", "SELECT 'part-' || (doc_id % 16) AS file, CAST(doc_id // 16 AS INT) AS entry_idx, 'doc/' || doc_id || '.bin' AS name, strlen(text) AS payload_len, substr(sha256(text), 1, 12) AS hash FROM documents")
 def _(spark, d):
-    back = container.unpack(_entries(spark, d), path="file")
+    back = _unpacked(spark, d)
     return back.select("file", "entry_idx", "name", "payload_len", s.sha12(F.col("payload")).alias("hash"))
 
 
 @query("container_meta_scan", "SELECT 'part-' || (doc_id % 16) AS file, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS modality, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY ALL")
 def _(spark, d):
-    meta = container.unpack(_entries(spark, d), metadata_only=True, path="file")
+    meta = _unpacked(spark, d, metadata_only=True)
     return meta.groupBy("file", "modality").agg(F.count("*").alias("n"), F.sum("payload_len").alias("bytes"))
 
 

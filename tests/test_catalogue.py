@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from framewright.plans import catalogue
+from framewright.sources import container
 
 
 def _norm(v):
@@ -36,6 +37,20 @@ def test_rows(spark, data, name):
     assert catalogue.QUERIES[name](spark, data).count() > 0
 
 
+def test_containers_follow_the_input(spark, tmp_path):
+    """More documents of one file than a container's count can hold."""
+    n = 70_000
+    docs = spark.range(n).selectExpr("id * 16 AS doc_id", "concat('t', id) AS text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalogue._entries(spark, str(tmp_path)).selectExpr("max(n_entries)").first()[0] <= catalogue.VOLUME
+    back = catalogue.QUERIES["container_roundtrip"](spark, str(tmp_path))
+    row = back.selectExpr("count(*)", "count(DISTINCT entry_idx)", "max(entry_idx)").first()
+    wrong = back.filter("file <> 'part-0' OR name <> concat('doc/', entry_idx * 16, '.bin') OR payload_len <> length(entry_idx) + 1").count()
+    assert (*row, wrong) == (n, n, n - 1, 0)
+    meta = catalogue.QUERIES["container_meta_scan"](spark, str(tmp_path)).collect()
+    assert [(r.file, r.modality, r.n) for r in meta] == [("part-0", container.IMAGE, n)]
+
+
 def test_codec_is_close(spark, data):
     assert catalogue.QUERIES["codec_roundtrip"](spark, data).filter("psnr < 50").count() == 0
 
