@@ -55,6 +55,13 @@ def reshape(df: DataFrame, keys: list[str], at: str, size: int = 128) -> DataFra
     return t.withColumn("channel", F.floor(F.col(at) / F.col("_n"))).withColumn("position", F.pmod(F.col(at), F.col("_n"))).drop("_n")
 
 
+def pad_short(df: DataFrame, key: str, at: str, value: str, size: int) -> DataFrame:
+    """(key, at, value) with zeros after the end of those sequences that are shorter than `size`; `at` counts from 0."""
+    df = df.select(key, F.col(at).cast("bigint").alias(at), F.col(value).cast("double").alias(value))
+    short = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < size)
+    return df.unionByName(short.select(key, F.explode(F.sequence(F.col("_n"), F.lit(size - 1).cast("bigint"))).alias(at), F.lit(0.0).alias(value)))
+
+
 def frames(df: DataFrame, keys: list[str], at: str, size: int = 512, hop: int = 128) -> DataFrame:
     """One row for each frame that a sample is in: frame, offset. Frames that would run over the end are left out."""
     n = F.count("*").over(W.partitionBy(*keys))

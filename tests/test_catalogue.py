@@ -5,8 +5,11 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from framewright.operators import signal
 from framewright.plans import catalogue
 from framewright.sources import container
 
@@ -51,6 +54,27 @@ def test_containers_follow_the_input(spark, tmp_path):
     assert [(r.file, r.modality, r.n) for r in meta] == [("part-0", container.IMAGE, n)]
 
 
+def test_spectrum_embedding_of_every_user(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    signals = {u: rng.standard_normal(n) for u, n in ((1, 1), (2, 20), (3, 63), (4, 64), (5, 99), (12, 300))}
+    rows = [(100 * u + i, f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", u, float(v)) for u, x in signals.items() for i, v in enumerate(x)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").withColumn("ts", F.to_timestamp_ntz("ts"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(64) / 64)
+    weights = np.zeros((20, 33))
+    for k, b, w in signal.mel_filters(16000, 64):
+        weights[k, b] = w
+    got = {r.user_id: r.embedding for r in catalogue.QUERIES["spectrum_embedding"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(signals)
+    for u, x in signals.items():
+        x = np.pad(x, (0, max(0, 64 - len(x))))
+        power = np.mean([np.abs(np.fft.rfft(x[s : s + 64] * hann)) ** 2 for s in range(0, len(x) - 63, 32)], axis=0) / (16000 * (hann**2).sum())
+        power[1:-1] *= 2
+        logs = np.log(np.maximum(weights @ power, 1e-10))
+        c = np.array([math.sqrt((1 if k == 0 else 2) / 20) * sum(e * math.cos(math.pi * k * (2 * m + 1) / 40) for m, e in enumerate(logs)) for k in range(20)])
+        assert np.allclose(got[u], c / np.linalg.norm(c), atol=1e-9)
+
+
 def test_codec_is_close(spark, data):
     assert catalogue.QUERIES["codec_roundtrip"](spark, data).filter("psnr < 50").count() == 0
 
