@@ -318,8 +318,7 @@ def _(spark, d):
 
 @query("compression_ratio_report")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    sized = docs.join(codecs.compressed_size(docs, "doc_id", "text", 3), "doc_id")
+    sized = codecs.compressed_size(table(spark, d, "documents"), "source", "text", keep=True)
     t = sized.groupBy("source").agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum("packed").alias("packed"))
     return t.withColumn("saved_pct", F.round(pl.ratio(F.col("bytes"), F.col("packed")), 2)).withColumn("of_target_pct", F.round(pl.share_of_target(F.col("packed"), pl.target_bytes(F.col("bytes"), F.lit(30))), 2))
 

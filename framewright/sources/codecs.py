@@ -43,13 +43,13 @@ class RoundedZstd:
         return [np.frombuffer(z.decompress(p[5:]), np.int8).astype(np.float32) * struct.unpack_from("<f", p, 1)[0] for p in payloads]
 
 
-def _apply(df: DataFrame, key: str, column: str, out: str, kind: str, arrow: pa.DataType, work) -> DataFrame:
+def _apply(df: DataFrame, key: str, column: str, out: str, kind: str, arrow: pa.DataType, work, keep: list[str] = []) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = work()
         for batch in batches:
-            yield pa.record_batch([batch.column(key), pa.array(f(batch.column(column)), arrow)], names=[key, out])
+            yield pa.record_batch([*map(batch.column, [key, *keep]), pa.array(f(batch.column(column)), arrow)], names=[key, *keep, out])
 
-    return df.select(key, column).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, {out} {kind}")
+    return df.select(key, column).mapInArrow(run, ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in [key, *keep]) + f", {out} {kind}")
 
 
 def encode(df: DataFrame, key: str, array: str, make=RoundedZstd) -> DataFrame:
@@ -62,8 +62,8 @@ def decode(df: DataFrame, key: str, make=RoundedZstd) -> DataFrame:
     return _apply(df, key, "payload", "vector", "array<float>", pa.list_(pa.float32()), lambda: (lambda c: lambda x: [v.tolist() for v in c.decode(x.to_pylist())])(make()))
 
 
-def compressed_size(df: DataFrame, key: str, column: str, level: int = 19) -> DataFrame:
-    """(key, packed): bytes of a text or binary column after zstd."""
+def compressed_size(df: DataFrame, key: str, column: str, level: int = 19, keep: bool = False) -> DataFrame:
+    """(key, packed): bytes of a text or binary column after zstd; with keep=True beside the column itself."""
 
     def work():
         import zstandard
@@ -71,4 +71,4 @@ def compressed_size(df: DataFrame, key: str, column: str, level: int = 19) -> Da
         z = zstandard.ZstdCompressor(level=level)
         return lambda x: [None if v is None else len(z.compress(v.encode() if isinstance(v, str) else v)) for v in x.to_pylist()]
 
-    return _apply(df, key, column, "packed", "bigint", pa.int64(), work)
+    return _apply(df, key, column, "packed", "bigint", pa.int64(), work, keep=[column] if keep else [])

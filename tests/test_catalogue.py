@@ -75,6 +75,17 @@ def test_spectrum_embedding_of_every_user(spark, tmp_path):
         assert np.allclose(got[u], c / np.linalg.norm(c), atol=1e-9)
 
 
+def test_compression_ratio_counts_every_row_once(spark, tmp_path):
+    import zstandard
+
+    texts = [" ".join(f"w{i * i % (k + 7)}" for i in range(400)) for k in range(4)]
+    docs = spark.createDataFrame([(i, "s", t) for i, t in zip((1, 1, 2, None), texts)] + [(5, None, None)], "doc_id long, source string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.source: (r.bytes, r.packed) for r in catalogue.QUERIES["compression_ratio_report"](spark, str(tmp_path)).collect()}
+    packed = sum(len(zstandard.ZstdCompressor(level=19).compress(t.encode())) for t in texts)
+    assert got == {"s": (sum(map(len, texts)), packed), None: (None, None)}
+
+
 def test_codec_is_close(spark, data):
     assert catalogue.QUERIES["codec_roundtrip"](spark, data).filter("psnr < 50").count() == 0
 
