@@ -23,10 +23,16 @@ _local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where a session names none (tests) is one made."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Only a local session (tests), where driver and executors are one process, gets a temporary folder if none is named.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="spark-shared-")
@@ -34,16 +40,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts the lineage, survives lost executors.
+#: Makes Spark delete the shuffle files of an execution when it ends.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    The write's own shuffle files are unreachable afterwards; asking the driver for a collection
-    lets Spark's context cleaner delete them now rather than at some later time.
-    """
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to the shared folder and read it back: cuts the lineage, survives lost executors, frees the write's shuffles."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
@@ -113,3 +123,16 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def grouped(items: list, size: Callable, limit: int) -> Iterator[list]:
+    """Runs of items of about `limit` in all (one item at least)."""
+    out, total = [], 0
+    for x in items:
+        out.append(x)
+        total += size(x)
+        if total >= limit:
+            yield out
+            out, total = [], 0
+    if out:
+        yield out

@@ -287,3 +287,34 @@ def test_chat(spark):
     out = chat_format.canonical(spark.createDataFrame([(r, "k") for r in records], "record string, layout string"))
     assert [r.layout for r in out.collect()] == ["instruction", "shared conversation", None, None, None, None]
     assert chat_format.canonical(out.limit(0).select("record")).count() == 0
+
+
+def test_pretokens_are_the_librarys_for_every_code_point(spark):
+    path = vocabulary()
+    tok = token_counts._load(path)
+    pre = token_counts.PreTokens(token_counts.classes(spark, path), token_counts._special(path))
+    cuts = lambda t: (lambda text, first, last, _: [text[a:b] for a, b in zip(first, last)])(*pre.cut([t]))
+    want = lambda t: [t[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(t)]
+    rng = random.Random(1)
+    odd = ["a", "s", "t", "re", "ve", "ll", "d", "m", "'", " ", "  ", "\n", "\t", "1", "!", "é", "\xa0", "　", "٣", "—", "\x1c", "​", "\U00011de0", "'ll", "s'", "S"]
+    for _ in range(10_000):
+        t = "".join(rng.choice(odd) for _ in range(rng.randrange(1, 14)))
+        assert cuts(t) == want(t)
+    docs = []
+    for low in range(0, 0x110000, 1 << 14):
+        t = "".join(f".{ch}'ll {ch}  {ch}{ch}x{ch}7 " for ch in map(chr, range(low, low + (1 << 14))) if not "\ud800" <= ch <= "\udfff")
+        assert not t or cuts(t) == want(t)
+        docs.append((low, t[: 1 << 11]))
+    got = {r.doc_id: r.n_tokens for r in token_counts.count(spark.createDataFrame(docs, "doc_id long, text string"), path).collect()}
+    assert got == {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in docs}
+
+
+def test_token_counts_of_long_texts_and_hot_long_pretokens(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "PIECE", 64)
+    path = vocabulary()
+    tok = token_counts._load(path)
+    texts = [LONG, "-" * 500 + " x", "=" * 300, ("-" * 500 + "\n") * 9, "ab" * 400, "a  b " * 300, ("word " * 40 + "<|endoftext|>") * 5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    for head in (token_counts.HEAD, 3):
+        assert [r.n_tokens for r in token_counts.count(docs, path, head=head).orderBy("doc_id").collect()] == want
