@@ -28,6 +28,8 @@ CONTROL = [BEGIN, MIDDLE, END, "<|endoftext|>", "<|startoftext|>", "<|system|>",
 MARK = "\\"
 
 TURNS = "array<struct<role:string,text:string>>"
+#: Layouts that conversations_as_records deals out to conversations that aren't one prompt and its answer.
+LIST_LAYOUTS = 5
 
 
 def paths(value, at: str = "") -> set[str]:
@@ -47,25 +49,24 @@ def fingerprint(found: set[str]) -> str:
 class Mapping:
     """How one layout becomes turns.
 
-    rows: path of a list of messages with `role` and `text` fields; or fixed: (role, field or fields joined by a blank
-    line) in order, empty ones left out. roles renames roles.
+    rows: path of a list of messages with `role` and `text` fields, themselves paths inside a message; or fixed: (role,
+    field or fields joined by a blank line) in order, empty ones left out. roles renames roles.
     """
 
     name: str
     fields: tuple[str, ...]
     rows: tuple[str, ...] = ()
-    role: str = ""
-    text: str = ""
+    role: tuple[str, ...] = ()
+    text: tuple[str, ...] = ()
     fixed: tuple[tuple[str, tuple[str, ...]], ...] = ()
     roles: dict = field(default_factory=dict, hash=False)
 
     def turns(self, record: dict) -> list[tuple[str, str]]:
         s = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
         if self.rows:
-            at = record
-            for key in self.rows:
-                at = at.get(key) or []
-            return [(self.roles.get(s(m.get(self.role)), s(m.get(self.role))), s(m.get(self.text))) for m in at if isinstance(m, dict)]
+            into = lambda v, keys: into(v.get(keys[0]), keys[1:]) if keys and isinstance(v, dict) else v
+            found = [(s(into(m, self.role)), s(into(m, self.text))) for m in into(record, self.rows) or [] if isinstance(m, dict)]
+            return [(self.roles.get(role, role), text) for role, text in found]
         out = []
         for role, keys in self.fixed:
             text = "\n\n".join(x for k in keys if (x := s(record.get(k))))
@@ -77,10 +78,11 @@ class Mapping:
 _SPEAKERS = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 #: Layouts by their field paths. A further layout is a further row.
 MAPPINGS = (
-    Mapping("messages", ("/messages[]/role", "/messages[]/content"), rows=("messages",), role="role", text="content"),
-    Mapping("turns", ("/turns[]/role", "/turns[]/text"), rows=("turns",), role="role", text="text"),
-    Mapping("shared conversation", ("/conversations[]/from", "/conversations[]/value"), rows=("conversations",), role="from", text="value", roles=_SPEAKERS),
-    Mapping("chat messages", ("/chat/messages[]/speaker", "/chat/messages[]/utterance"), rows=("chat", "messages"), role="speaker", text="utterance", roles=_SPEAKERS),
+    Mapping("messages", ("/messages[]/role", "/messages[]/content"), rows=("messages",), role=("role",), text=("content",)),
+    Mapping("turns", ("/turns[]/role", "/turns[]/text"), rows=("turns",), role=("role",), text=("text",)),
+    Mapping("authored parts", ("/conversation[]/author/role", "/conversation[]/content/text"), rows=("conversation",), role=("author", "role"), text=("content", "text")),
+    Mapping("shared conversation", ("/conversations[]/from", "/conversations[]/value"), rows=("conversations",), role=("from",), text=("value",), roles=_SPEAKERS),
+    Mapping("chat messages", ("/chat/messages[]/speaker", "/chat/messages[]/utterance"), rows=("chat", "messages"), role=("speaker",), text=("utterance",), roles=_SPEAKERS),
     Mapping("instruction", ("/instruction", "/input", "/output"), fixed=(("user", ("instruction", "input")), ("assistant", ("output",)))),
     Mapping("instruction without input", ("/instruction", "/output"), fixed=(("user", ("instruction",)), ("assistant", ("output",)))),
     Mapping("prompt and completion", ("/prompt", "/completion"), fixed=(("user", ("prompt",)), ("assistant", ("completion",)))),
@@ -183,12 +185,30 @@ def format_turns(df: DataFrame, *, turns: str = "turns", control: list[str] = CO
 def conversations_as_records(rows: DataFrame) -> DataFrame:
     """(conv_id, record): rows (conv_id, turn, role, text) gathered into one JSON record for each conversation.
 
+    Records are as heterogeneous as those of real sources: one user and one assistant turn with texts make a prompt and
+    response or an instruction record, other conversations lists of messages in five layouts, dealt out by conv_id. Layouts
+    that rename speakers are left to conversations that have none of the renamed names, so that each turn comes back as it was.
     Turns are in order of turn, role, text (nulls first); repeated rows are all kept. A conversation is one value, as its
     formatted string has to be; rows with a null conv_id form one conversation.
     """
     each = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return (
-        rows.groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list(each)).alias("_t"))
-        .select("conv_id", F.to_json(F.struct(F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages"))).alias("record"))
+    t = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(each)).alias("t"))
+    listed = lambda role, text: F.transform("t", lambda x: F.struct(x["role"].alias(role), x["text"].alias(text)))
+    record = lambda **fields: F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    nested = lambda name, v: F.struct(v.alias(name))
+    parts = F.transform("t", lambda x: F.struct(nested("role", x["role"]).alias("author"), nested("text", x["text"]).alias("content")))
+    side = lambda k: F.get("t", k)
+    pair = (F.size("t") == 2) & (side(0)["role"] == "user") & (side(1)["role"] == "assistant") & (side(0)["text"] != "") & (side(1)["text"] != "")
+    renamed = F.exists("t", lambda x: x["role"].isin(*_SPEAKERS))
+    deal = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(LIST_LAYOUTS))
+    even = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(2)) == 0
+    made = (
+        F.when(pair & even, record(prompt=side(0)["text"], response=side(1)["text"]))
+        .when(pair, record(instruction=side(0)["text"], output=side(1)["text"]))
+        .when(deal == 1, record(turns=listed("role", "text")))
+        .when(deal == 2, record(conversation=parts))
+        .when((deal == 3) & ~renamed, record(conversations=listed("from", "value")))
+        .when((deal == 4) & ~renamed, record(chat=nested("messages", listed("speaker", "utterance"))))
+        .otherwise(record(messages=listed("role", "content")))
     )
+    return t.select("conv_id", made.alias("record"))

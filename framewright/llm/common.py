@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the ASCII white space (bytes.split() has the same rule).
@@ -73,6 +74,24 @@ def small_enough(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, str], number: str | None = None) -> DataFrame:
+    """`df` with running sums over all rows in an order, the row itself left out: {new column: summed column}; number: rows before it.
+
+    Rows are dealt out by range, so no task sees more than its range; only one row for each range goes through one task.
+    """
+    at, each = "_range", {**sums, **({number: None} if number else {})}
+    what = lambda source: F.lit(1).cast("long") if source is None else F.col(source)
+    ranged = materialize(df.repartitionByRange(*order).withColumn(at, F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy(at).agg(*[F.sum(what(source)).alias(f"_{name}_") for name, source in each.items()])
+    before = W.orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select(at, *[F.coalesce(F.sum(f"_{name}_").over(before), F.lit(0)).alias(f"_{name}_") for name in each])
+    inside = W.partitionBy(at).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(starts), at)  # a row for each range: as many as shuffle partitions
+    for name, source in each.items():
+        out = out.withColumn(name, F.sum(what(source)).over(inside) - what(source) + F.col(f"_{name}_"))
+    return out.drop(at, *[f"_{name}_" for name in each])
+
+
 def word_array(text: Column) -> Column:
     """The words of a text as an array; null gives an empty one. JVM only."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

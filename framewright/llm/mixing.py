@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-#: Hexadecimal digits of the order's key that name a bucket: 16 ** 3 buckets for each source.
-BUCKET_DIGITS = 3
+#: Hexadecimal digits of the order's key that name a bucket: 16 ** 4 buckets for each source.
+BUCKET_DIGITS = 4
 
 
 def by_rank(*values: float) -> Callable[[Column], Column]:
@@ -37,28 +37,23 @@ def targets(sizes: DataFrame, weight: Callable[[Column], Column], share: float =
     """(source, source_size) -> rank, weight, target. Sources by code point, null last.
 
     Water-filling: the level L with sum(min(weight * L, most * size)) = share * all. Sources in order of
-    most * size / weight; the first one that isn't full at the level its predecessors leave gives L.
+    most * size / weight; the first one that isn't full at the level its predecessors leave gives L. Ranks and running
+    sums are taken range by range, so there may be as many sources as there are web hosts.
     """
-    order = W.orderBy(F.col("source").asc_nulls_last())  # one row for each source
-    up = W.orderBy("_full_at", "_rank")
     t = (
-        sizes.withColumn("_rank", F.row_number().over(order) - 1)
-        .withColumn("weight", weight(F.col("_rank")))
-        .withColumn("_cap", (most * F.col("source_size")).cast("double"))
-        .withColumn("_full_at", F.col("_cap") / F.col("weight"))
-        .withColumn("_before", F.sum("_cap").over(up) - F.col("_cap"))
-        .withColumn("_rest", F.sum("weight").over(up.rowsBetween(0, W.unboundedFollowing)))
-        .withColumn("_total", F.sum("source_size").over(W.partitionBy()) * F.lit(share))
-        .withColumn("_level", (F.col("_total") - F.col("_before")) / F.col("_rest"))
-        .withColumn(
-            "_l",
-            F.min(F.when(F.col("_level") <= F.col("_full_at"), F.struct("_full_at", "_rank", "_level"))).over(
-                W.partitionBy()
-            )["_level"],
-        )
+        c.running(sizes, [F.col("source").asc_nulls_last()], {}, number="rank")
+        .withColumn("weight", weight(F.col("rank")))
+        .withColumn("cap", (most * F.col("source_size")).cast("double"))
+        .withColumn("full_at", F.col("cap") / F.col("weight"))
     )
-    wanted = F.coalesce(F.col("_l") * F.col("weight"), F.col("_cap"))
-    return t.select("source", "source_size", "weight", F.col("_rank").alias("rank"), F.least("_cap", wanted).alias("target"))
+    t = c.materialize(c.running(t, [F.col("full_at"), F.col("rank")], {"before": "cap", "used": "weight"}), "sources")
+    whole = t.agg(F.sum("source_size").alias("n"), F.sum("weight").alias("w")).first()
+    if not whole.n:  # no rows, or no words
+        return t.select("source", "source_size", "weight", "rank", F.col("cap").alias("target"))
+    level = (F.lit(float(whole.n)) * share - F.col("before")) / (F.lit(float(whole.w)) - F.col("used"))
+    found = t.withColumn("level", level).filter("level <= full_at").agg(F.min_by("level", F.struct("full_at", "rank"))).first()[0]
+    wanted = F.col("cap") if found is None else F.lit(float(found)) * F.col("weight")
+    return t.select("source", "source_size", "weight", "rank", F.least("cap", wanted).alias("target"))
 
 
 def _invert(knots: Column, u: Column) -> Column:
@@ -109,58 +104,56 @@ def assign(
     with t rising from 0 to 1. Only the last use can be partial, so the words taken are the target rounded down.
     Null text: size 0. Null source: a source of its own, the last. Null doc_id: ordered like an empty one.
     Repeated rows and ties: told apart by doc_id, size and a hash of the text; equal rows are interchangeable.
-    An empty table gives an empty result. Columns with the names above are replaced.
+    An empty table gives an empty result. Columns with the names above are replaced, all others pass through whatever their names.
     """
     flat = F.array(F.struct(F.lit(0.0).alias("t"), F.lit(1.0).alias("f")), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("f")))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = (
-        docs.drop("size", "source_size", "target", "taken", "uses")
-        .withColumn("size", c.n_words(F.col(text)))
-        .withColumn("_order", key)
-        .withColumn("_tie", F.xxhash64(text))
-        .withColumn("_bucket", F.conv(F.substring("_order", 1, BUCKET_DIGITS), 16, 10).cast("int"))
-        .withColumn("_s", _source_key(F.col("source")))
-    )
-    sized = c.materialize(sized if keep_text else sized.drop(text), "sized")
-    totals = c.materialize(sized.groupBy("_s", "_bucket").agg(F.sum("size").alias("_n")), "totals")
-    starts = totals.select(
-        "_s", "_bucket", (F.sum("_n").over(W.partitionBy("_s").orderBy("_bucket")) - F.col("_n")).alias("_start")
-    )
-    sources = totals.groupBy("_s").agg(F.sum("_n").alias("source_size"))
-    named = F.when(F.col("_s") != "n", F.expr("substring(_s, 2)"))
+    replaced = {"size", "source_size", "target", "taken", "uses"} | (set() if keep_text else {text.lower()})
+    kept = [x for x in docs.columns if x.lower() not in replaced]
+    sized = docs.select(
+        F.struct(*[F.col(f"`{x}`") for x in kept]).alias("row"),  # so that no name in it can clash
+        c.n_words(F.col(text)).alias("size"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("order"),
+        F.xxhash64(text).alias("tie"),
+        _source_key(F.col("source")).alias("s"),
+    ).withColumn("bucket", F.conv(F.substring("order", 1, BUCKET_DIGITS), 16, 10).cast("int"))
+    sized = c.materialize(sized, "sized")
+    totals = c.materialize(sized.groupBy("s", "bucket").agg(F.sum("size").alias("n")), "totals")
+    starts = totals.select("s", "bucket", (F.sum("n").over(W.partitionBy("s").orderBy("bucket")) - F.col("n")).alias("start"))
+    sources = totals.groupBy("s").agg(F.sum("n").alias("source_size"))
+    named = F.when(F.col("s") != "n", F.expr("substring(s, 2)"))
     goals = c.materialize(targets(sources.select(named.alias("source"), "source_size"), weight, share, most), "goals")
-    goals = goals.select(
-        _source_key(F.col("source")).alias("_s"),
-        "source_size",
-        "target",
-        (schedule(F.col("rank")) if schedule else flat).alias("_knots"),
-    )
-    inside = W.partitionBy("_s", "_bucket").orderBy("_order", F.col("doc_id").asc_nulls_last(), "size", "_tie")
+    goals = goals.select(_source_key(F.col("source")).alias("s"), "source_size", "target", (schedule(F.col("rank")) if schedule else flat).alias("knots"))
+    inside = W.partitionBy("s", "bucket").orderBy("order", F.col("row.doc_id").asc_nulls_last(), "size", "tie")
     placed = (
-        sized.join(starts, ["_s", "_bucket"])
-        .withColumn("_at", F.col("_start") + F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-        .join(c.small_enough(goals, 100_000), "_s")
+        sized.join(starts, ["s", "bucket"])
+        .withColumn("at", F.col("start") + F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
+        .join(c.small_enough(goals, 100_000), "s")
     )
     goal = F.floor("target").cast("long")
 
     def use(e: int) -> Column:
-        begin = F.col("_at") + F.lit(e) * F.col("source_size")
+        begin = F.col("at") + F.lit(e) * F.col("source_size")
         words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), goal - begin))
         middle = (begin + words / 2) / F.greatest(F.lit(1.0), F.col("target"))
-        return F.struct(F.lit(e).alias("epoch"), words.alias("words"), _invert(F.col("_knots"), F.least(F.lit(1.0), middle)).alias("position"))
+        return F.struct(F.lit(e).alias("epoch"), words.alias("words"), _invert(F.col("knots"), F.least(F.lit(1.0), middle)).alias("position"))
 
-    return (
-        placed.withColumn("uses", F.filter(F.array(*[use(e) for e in range(most)]), lambda u: u["words"] > 0))
-        .withColumn("taken", F.aggregate("uses", F.lit(0).cast("long"), lambda a, u: a + u["words"]))
-        .drop("_s", "_bucket", "_order", "_tie", "_start", "_at", "_knots")
-    )
+    used = placed.withColumn("uses", F.filter(F.array(*[use(e) for e in range(most)]), lambda u: u["words"] > 0))
+    taken = F.aggregate("uses", F.lit(0).cast("long"), lambda a, u: a + u["words"])
+    return used.select("row.*", "size", "source_size", "target", taken.alias("taken"), "uses")
 
 
 def curriculum(mixed: DataFrame) -> DataFrame:
-    """One row for each use of a document, range-sorted by training position (ties by doc_id, epoch)."""
-    rows = mixed.withColumn("_use", F.explode("uses")).drop("uses")
-    return (
-        rows.select("*", F.col("_use.epoch").alias("epoch"), F.col("_use.words").alias("words"), F.col("_use.position").alias("position"))
-        .drop("_use")
-        .orderBy("position", "doc_id", "epoch")
-    )
+    """One row for each use of a document, range-sorted by training position (ties by doc_id, epoch).
+
+    uses gives way to epoch, words and position; columns of these names are replaced. Documents without a use give no row.
+    """
+    rest = [F.col(f"`{x}`") for x in mixed.columns if x.lower() not in {"uses", "epoch", "words", "position"}]
+    rows = mixed.select(*rest, F.inline("uses"))
+    return rows.orderBy("position", "doc_id", "epoch")
+
+
+def by_position(mixed: DataFrame) -> DataFrame:
+    """`mixed` with position and position_2, where its first and second use stand in training (null: not used), range-sorted by position."""
+    at = lambda k: F.round(F.get("uses", k)["position"], 9)
+    out = mixed.withColumns({"position": at(0), "position_2": at(1)}).drop("uses")
+    return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")

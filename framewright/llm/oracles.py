@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import quality_rules as q
-from .chat_format import BEGIN, CONTROL, END, MIDDLE
+from .chat_format import _SPEAKERS, BEGIN, CONTROL, END, LIST_LAYOUTS, MIDDLE
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _WORDS = f"regexp_extract_all(coalesce(text, ''), '{_WORD}')"
@@ -22,15 +22,23 @@ def _escaped(x: str) -> str:
     return out
 
 
+_IN_ORDER = "ORDER BY turn NULLS FIRST, role, text"
+_DEAL = lambda n: f"((coalesce(conv_id, 0) % {n} + {n}) % {n})"
+
 OP4 = f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) AS t(conv_id, turn, role, text))
-SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) AS t(conv_id, turn, role, text)),
+g AS (SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' {_IN_ORDER})) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum({len(BEGIN) + len(MIDDLE) + len(END) + 1} + length({_escaped('role')}) + length({_escaped('text')})) AS BIGINT) AS formatted_chars
-FROM c GROUP BY conv_id
+  sha256(coalesce(string_agg(text, '' {_IN_ORDER}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(BEGIN) + len(MIDDLE) + len(END) + 1} + length({_escaped('role')}) + length({_escaped('text')})) AS BIGINT) AS formatted_chars,
+  list(role {_IN_ORDER}) = ['user', 'assistant'] AND bool_and(text <> '') AS pair, bool_or(role IN ({', '.join(map(_text, _SPEAKERS))})) AS renamed
+FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
+  CASE WHEN pair AND {_DEAL(2)} = 0 THEN 'prompt and response' WHEN pair THEN 'instruction without input' WHEN {_DEAL(LIST_LAYOUTS)} = 1 THEN 'turns' WHEN {_DEAL(LIST_LAYOUTS)} = 2 THEN 'authored parts'
+    WHEN {_DEAL(LIST_LAYOUTS)} = 3 AND NOT renamed THEN 'shared conversation' WHEN {_DEAL(LIST_LAYOUTS)} = 4 AND NOT renamed THEN 'chat messages' ELSE 'messages' END AS layout
+FROM g
 """
 
 OP5 = f"""
@@ -71,14 +79,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 OP7 = _op7()
 
+# a source's rate goes from f0 to f1 over training; the time by which the share u of its words is used solves a quadratic
+_USE = lambda e: f"greatest(0, least(size, floor(target) - begins - {e} * source_size))"
+_SHARE = lambda e: f"least(1.0::DOUBLE, (begins + {e} * source_size + {_USE(e)} / 2.0::DOUBLE) / greatest(1.0::DOUBLE, target)) * ((f1 + f0) / 2.0::DOUBLE)"
+_POSITION = lambda e: (
+    f"CASE WHEN {_USE(e)} > 0 THEN round(least(1.0::DOUBLE, 2 * {_SHARE(e)} / (f0 + sqrt(greatest(0.0::DOUBLE, f0 * f0 + 2 * (f1 - f0) * {_SHARE(e)})))), 9) END"
+)
+
 OP8 = f"""
 WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM d GROUP BY source),
 f AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][rk % 3 + 1] AS wt, CAST(2 * source_size AS DOUBLE) AS cap FROM s),
 l AS (SELECT *, cap / wt AS full_at, (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE - (sum(cap) OVER (ORDER BY cap / wt, rk) - cap)) / sum(wt) OVER (ORDER BY cap / wt, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM f),
-t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(lev, full_at) FROM l WHERE lev <= full_at) * wt, cap)) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(lev, full_at) FROM l WHERE lev <= full_at) * wt, cap)) AS target,
+  [2.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE][rk % 3 + 1] AS f0, [1.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][rk % 3 + 1] AS f1 FROM l),
 p AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY o, doc_id ROWS UNBOUNDED PRECEDING) - size AS begins FROM d)
-SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, floor(target) - begins)) + greatest(0, least(size, floor(target) - begins - source_size)) AS BIGINT) AS taken
+SELECT doc_id, size, source_size, target, CAST({_USE(0)} + {_USE(1)} AS BIGINT) AS taken, {_POSITION(0)} AS position, {_POSITION(1)} AS position_2
 FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
 """
 

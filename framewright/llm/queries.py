@@ -64,6 +64,7 @@ def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
         F.length("_loss").cast("long").alias("loss_chars"),
         F.sha2("_loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "layout",
     )
 
 
@@ -104,7 +105,7 @@ def ramps(rank):
 
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.assign(_read(spark, folder, "documents"), weight=mixing.by_rank(3, 1, 2), schedule=ramps)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.by_position(mixed).select("doc_id", "size", "source_size", "target", "taken", "position", "position_2")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
