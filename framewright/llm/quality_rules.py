@@ -24,66 +24,76 @@ METRICS = {
     "upper_rate": ("n_upper", "word_chars", 3000),
 }
 SPREAD = 3
-#: Groups with fewer documents than this are judged by the sketch of all documents.
+#: Groups with fewer documents than this are judged by the sketch of all documents: a quartile of so few says little.
 MIN_GROUP = 30
 
 
 def _repeat_words(words: Column) -> Column:
     """Words covered by 3-word windows that occur twice or more in the text.
 
-    Each window is a long: its hash, shifted up to make room for its position (at least 44 bits of hash are left for
-    a text of a million words, 54 for one of a thousand). Sorted, a window that is repeated has a neighbour with its
-    hash; the union of the intervals [p, p + 2] is then counted over the sorted positions.
+    Each window is a long: its hash, shifted up to make room for its position. Sorted, a window that is repeated has a
+    neighbour with its hash; the union of the intervals [p, p + 2] is then counted over the sorted positions. Neighbours of
+    one hash have their words compared; should any differ, the text's windows are sorted by their words instead.
     """
     def count(w: Column) -> Column:
         bits = F.length(F.bin(F.size(w)))
+        numbers = F.sequence(F.lit(0), F.size(w) - 3)
         grams = F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3),
+            numbers,
             lambda i: F.call_function(
                 "shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits
             ).bitwiseOR(i.cast("long")),
         )
+        place = lambda x: (x - F.call_function("shiftleft", F.call_function("shiftright", x, bits), bits)).cast("int")
+        same = lambda x, y: F.call_function("shiftrightunsigned", x.bitwiseXOR(y), bits) == 0
 
-        def positions(s: Column) -> Column:
-            same = lambda x, y: F.call_function("shiftrightunsigned", x.bitwiseXOR(y), bits) == 0
-            repeated = F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1)))
-            return F.sort_array(
-                F.transform(repeated, lambda x: x - F.call_function("shiftleft", F.call_function("shiftright", x, bits), bits))
-            )
-
-        covered = lambda p: F.aggregate(
-            F.sequence(F.lit(1), F.size(p)),
-            F.lit(0).cast("long"),
-            lambda a, j: a + F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, j) - F.get(p, j - 1), F.lit(3).cast("long"))),
-        )
-        some = lambda p: F.when(F.size(p) == 0, F.lit(0).cast("long")).otherwise(covered(p))
-        return c.let(F.sort_array(grams), lambda s: c.let(positions(s), some))
+        def covered(p: Column) -> Column:
+            step = lambda a, j: a + F.least(F.lit(3).cast("long"), F.coalesce((F.get(p, j) - F.get(p, j - 1)).cast("long"), F.lit(3).cast("long")))
+            total = F.aggregate(F.sequence(F.lit(1), F.size(p)), F.lit(0).cast("long"), step)
+            return F.when(F.size(p) == 0, F.lit(0).cast("long")).otherwise(total)
+
+        def by_hash(s: Column) -> Column:
+            return F.sort_array(F.transform(F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1))), place))
+
+        def by_words() -> Column:
+            cut = F.sort_array(F.transform(numbers, lambda i: F.struct(F.slice(w, i + 1, 3).alias("g"), i.alias("p"))))
+            again = lambda s: F.filter(s, lambda x, j: (x["g"] == F.get(s, j - 1)["g"]) | (x["g"] == F.get(s, j + 1)["g"]))
+            return c.let(cut, lambda s: F.sort_array(F.transform(again(s), lambda x: x["p"])))
+
+        def clash(s: Column) -> Column:
+            """Whether neighbours of one hash differ in a word."""
+            differ = lambda p, q: (F.get(w, p) != F.get(w, q)) | (F.get(w, p + 1) != F.get(w, q + 1)) | (F.get(w, p + 2) != F.get(w, q + 2))
+            return F.exists(F.sequence(F.lit(1), F.size(s)), lambda j: F.coalesce(same(F.get(s, j), F.get(s, j - 1)) & differ(place(F.get(s, j)), place(F.get(s, j - 1))), F.lit(False)))
+
+        found = lambda s: F.when(clash(s), by_words()).otherwise(by_hash(s))
+        return c.let(F.sort_array(grams), lambda s: c.let(found(s), covered))
 
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(c.let(words, count))
 
 
-def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, n_upper, base_failed.
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"]
 
-    A null text has no words and fails. Columns of `docs` with these names are replaced.
+
+def metrics(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(row, n_words, word_chars, n_symbols, n_upper, n_lines, n_dup_lines, n_repeat_words, base_failed).
+
+    row holds the columns `keep` of `docs` (all if None), so that no name among them can clash. A null text has no words and fails.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(c.WORD))
-    out = (
-        docs.withColumn("_words", c.word_array(F.col(text)))
-        .withColumn("_lines", lines)
-        .withColumn("n_words", F.size("_words").cast("long"))
-        .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
-        .withColumn("n_symbols", F.regexp_count(t, F.lit(SYMBOLS)).cast("long"))
-        .withColumn("n_upper", F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long"))
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("n_repeat_words", _repeat_words(F.col("_words")))
-        .drop("_words", "_lines")
-    )
-    return out.withColumn(
-        "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    kept = F.struct(*[F.col(f"`{x}`") for x in (docs.columns if keep is None else keep)]).alias("row")
+    words, lines = F.col("words"), F.col("lines")
+    out = docs.select(kept, t.alias("t"), c.word_array(F.col(text)).alias("words"), F.filter(F.split(t, "\n", -1), lambda x: x.rlike(c.WORD)).alias("lines"))
+    out = out.select(
+        "row",
+        F.size(words).cast("long").alias("n_words"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        F.regexp_count("t", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
+        F.size(lines).cast("long").alias("n_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        _repeat_words(words).alias("n_repeat_words"),
     )
+    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def _rate(top: str, bottom: str) -> Column:
@@ -140,25 +150,25 @@ def judge(
 ) -> DataFrame:
     """`docs` with metrics, base_failed and kept.
 
+    kept: not base_failed, and no metric above the threshold of the document's lang and source. Groups with fewer than
+    `min_group` documents that passed the base rules take the thresholds of all documents instead (min_group=0: none does).
     Nulls: a null text has no words and is not kept; null lang or source form groups of their own.
-    An empty table gives an empty result; repeated rows are judged alike; other columns pass through.
+    An empty table gives an empty result; repeated rows are judged alike. Columns named like a metric, base_failed or kept
+    are replaced, all others pass through whatever their names.
     With keep_text=False the text column is left out, so that nothing wide is written or joined.
     """
-    measured = metrics(docs, text)
+    replaced = {*MEASURES, "kept"} | (set() if keep_text else {text.lower()})
+    measured = metrics(docs, text, [x for x in docs.columns if x.lower() not in replaced])
     for m, (top, bottom, _) in METRICS.items():
         measured = measured.withColumn(m, _rate(top, bottom))
-    measured = c.materialize(measured if keep_text else measured.drop(text), "quality-metrics")
-    limits = thresholds(measured.filter(~F.col("base_failed")), spread, min_group).withColumnsRenamed(
-        {"lang": "_lang", "source": "_source"}
-    )
+    measured = c.materialize(measured.withColumns({"lang": F.col("row.lang"), "source": F.col("row.source")}), "quality-metrics")
+    limits = thresholds(measured.filter(~F.col("base_failed")), spread, min_group).withColumnsRenamed({"lang": "own_lang", "source": "own_source"})
     joined = measured.join(
         c.small_enough(limits, 100_000),
-        F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")),
+        F.col("lang").eqNullSafe(F.col("own_lang")) & F.col("source").eqNullSafe(F.col("own_source")),
         "left",
     )
     fine = F.lit(True)
     for m in METRICS:
         fine = fine & (F.col(m) <= F.coalesce(F.col(f"max_{m}"), F.lit(0)))
-    return joined.withColumn("kept", ~F.col("base_failed") & fine).drop(
-        "_lang", "_source", *METRICS, *[f"max_{m}" for m in METRICS]
-    )
+    return joined.select("row.*", *MEASURES, (~F.col("base_failed") & fine).alias("kept"))
