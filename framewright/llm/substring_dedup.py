@@ -2,14 +2,18 @@
 
 Every text is a sequence of word symbols. Rounds rename it: in the first round maximal runs of one symbol become one
 symbol; in every round a symbol is a left or a right one by a bit of its name, and each left symbol followed by a
-right one becomes one symbol. Names are hashes of what they stand for, so all tasks give equal content equal names
-and nothing has to be exchanged to agree on them; only symbols at the ends of a stretch depend on its surroundings.
-
-For a window of WINDOW words the symbols that depend on the window alone are followed through the rounds until none
-would be left. The last of them with the smallest name is the window's anchor: equal windows have the same anchor at
-the same place. Anchors with the hashes of their windows are dealt out by anchor in packed blobs; where an anchor
-occurs more than once, equal window hashes (48 bits beside the anchor's 64) are repeats, and all but the first are
-reported. Within a batch repeats are resolved before anything is sent, so a passage that a third of all documents
+right one becomes one symbol. Names are 64-bit hashes of what they stand for, so equal content has one name in all tasks;
+only symbols at the ends of a stretch depend on its surroundings. For a window of WINDOW words the symbols that depend on
+the window alone are followed through the rounds; the last of them with the smallest name is the window's anchor: equal
+windows have the same anchor at the same place.
+
+1. High-level symbols are exchanged: a Spark round brings the anchors of all texts together by name and keeps those that
+   occur more than once (about three words and the windows around them are one row).
+2. Windows over shared symbols, and no others, are exchanged by anchor; where an anchor's windows agree in a hash of all
+   their words, all but the first are proposed as repeats, each with the place of the first.
+3. The words at these places are fetched and compared: what isn't equal word by word stays.
+
+What is shared within a task's batch is settled before anything is sent, so a passage that a third of all documents
 share is sent once for each batch, not once for each document.
 """
 
@@ -20,15 +24,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from . import common as c
 
 WINDOW = 20
-ROUNDS = 12
+#: Rounds after that of the runs: symbols then stand for about three words.
+ROUNDS = 4
 #: Windows that a task gathers before it sends them, and text bytes for each bucket of the exchange.
-FLUSH_WINDOWS, BUCKET_BYTES = 2_500_000, 1 << 20
+FLUSH_WINDOWS, BUCKET_BYTES = 2_000_000, 2 << 20
 LAST_ID = (1 << 63) - 1
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -63,15 +68,15 @@ def _name(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return c.mix(a * _BASE + c.mix(b + _U(0x632BE59BD9B4E019)))
 
 
-def anchors(h: np.ndarray, doc: np.ndarray, starts: np.ndarray, window: int, wh: np.ndarray):
+def anchors(h: np.ndarray, doc: np.ndarray, starts: np.ndarray, window: int):
     """For windows beginning at `starts` in the word hashes h: the anchor's name and the word where it begins.
 
-    doc: the document of each word; symbols never reach over its ends. wh: the windows' own hashes, which serve as
-    anchors where nothing inside a window is independent of its surroundings (a window within one run).
+    doc: the document of each word; symbols never reach over its ends. Where nothing inside a window is independent of its
+    surroundings (a window within one run), its own hash is the anchor.
     """
     n = len(h)
     name, pos, who = h, np.arange(n, dtype=np.int64), doc
-    key, at = c.mix(wh), starts.copy()
+    key, at = np.zeros(len(starts), _U), starts.copy()
     live = np.arange(len(starts))
     a, b = starts.copy(), starts + window - 1
     # runs of one word
@@ -85,6 +90,9 @@ def anchors(h: np.ndarray, doc: np.ndarray, starts: np.ndarray, window: int, wh:
     pos, who = pos[first], who[first]
     a, b = group[a] + 1, group[b] - 1
     some = a <= b
+    alone = live[~some]
+    if len(alone):
+        key[alone] = [int(window_hashes(h[i : i + window], window)[0]) for i in starts[alone].tolist()]
     live, a, b = live[some], a[some], b[some]
     for r in range(ROUNDS + 1):
         if not len(live):
@@ -131,87 +139,148 @@ def _unpack48(b: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _ranges(doc: np.ndarray, pos: np.ndarray):
-    """Consecutive positions of one document as (index of the first, index of the last)."""
-    if not len(doc):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
-    s = np.flatnonzero(new)
-    return s, np.append(s[1:], len(doc)) - 1
-
-
-def _repeats(same: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """True for each item that has an equal item at a smaller place."""
-    out = np.zeros(len(same), bool)
-    if len(same) < 2:
-        return out
-    o = np.argsort(same)
+def _firsts(same: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each item the number of the equal one at the smallest place (itself if none has a smaller place)."""
+    o = np.lexsort((place, same))
     s = same[o]
     new = np.ones(len(s), bool)
     new[1:] = s[1:] != s[:-1]
-    starts = np.flatnonzero(new)
-    p = place[o]
-    least = np.minimum.reduceat(p, starts)
-    out[o] = p != np.repeat(least, np.diff(np.append(starts, len(s))))
+    first = o[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    out = np.empty(len(s), np.int64)
+    out[o] = np.where(place[first] < place[o], first, o)
     return out
 
 
-class _Packer:
-    """Gathers windows of a task, resolves the repeats among them and packs the rest by bucket."""
+#: Windows starting at words s..e repeat those that start at words src_s.. of the document src.
+RANGES = "doc bigint, h int, s int, e int, src bigint, src_h int, src_s int"
+_RANGE_KINDS = ("<i8", "<i4", "<i4", "<i4", "<i8", "<i4", "<i4")
 
-    def __init__(self, buckets: int, window: int) -> None:
-        self.buckets, self.window, self.words = buckets, window, c.WordHasher()
-        self.clear()
 
-    def clear(self) -> None:
-        self.parts, self.ids, self.hs, self.n, self.seen = [], [], [], 0, set()
+def _ranges(gone: np.ndarray, first: np.ndarray, rank: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, hs: np.ndarray) -> list[np.ndarray]:
+    """The columns of RANGES for the windows `gone` (ascending, windows of a document in order), which repeat `first`."""
+    d, p, q, r = doc[gone], pos[gone], pos[first], doc[first]
+    new = np.ones(len(gone), bool)
+    new[1:] = (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1) | (r[1:] != r[:-1]) | (q[1:] != q[:-1] + 1)
+    a = np.flatnonzero(new)
+    z = np.append(a[1:], len(gone)) - 1
+    if not len(gone):
+        a = z = np.zeros(0, np.int64)
+    return [x.astype(k) for x, k in zip((ids[d[a]], hs[d[a]], p[a], p[z], ids[r[a]], hs[r[a]], q[a]), _RANGE_KINDS)]
 
-    def add(self, ids: list[int], hs: list[int], texts: list[bytes]) -> None:
-        words, lengths = [], []
-        for i, h, t in zip(ids, hs, texts):
+
+class _Texts:
+    """Word hashes of texts, each (doc, h) once for each batch."""
+
+    def __init__(self, window: int) -> None:
+        self.window, self.words, self.seen = window, c.WordHasher(), set()
+
+    def hashes(self, ids: list[int], hs: list[int], texts: list[bytes]):
+        """The rows that are new and long enough, their numbers of words, and all their words' hashes."""
+        rows, found = [], []
+        for k, (i, h, t) in enumerate(zip(ids, hs, texts)):
             w = t.split()
             if len(w) >= self.window and (i, h) not in self.seen:
                 self.seen.add((i, h))
-                words.append(self.words(w))
-                lengths.append(len(w))
-                self.ids.append(i)
-                self.hs.append(h)
-        if not words:
+                rows.append(k)
+                found.append(self.words(w))
+        return np.array(rows, np.int64), np.array([len(x) for x in found], np.int64), np.concatenate(found) if found else np.zeros(0, _U)
+
+
+SYMBOLS = "key bigint, n int, doc bigint, h int, start int, off int, many int"
+
+
+class _Symbols(_Texts):
+    """Gathers the anchors of a task's texts: rows of SYMBOLS.
+
+    A row is an anchor with the `many` windows around it, the first of which begins `off` words before it at word `start`.
+    n is 1 for an anchor that the batch has once and 0 for one that it has again and that is known to be shared with that; one row
+    without a document then tells the other batches (n = 2).
+    """
+
+    def __init__(self, window: int) -> None:
+        super().__init__(window)
+        self.parts, self.n = [], 0
+
+    def add(self, ids: list[int], hs: list[int], texts: list[bytes]) -> None:
+        rows, lengths, h = self.hashes(ids, hs, texts)
+        if not len(rows):
             return
-        base = len(self.ids) - len(words)
-        h, lengths = np.concatenate(words), np.array(lengths)
-        doc = np.repeat(np.arange(base, base + len(lengths)), lengths)
-        off = np.cumsum(lengths) - lengths
-        wh = window_hashes(h, self.window)
-        ok = doc[: len(wh)] == doc[self.window - 1 :]
-        starts = np.flatnonzero(ok)
-        wh = wh[starts]
-        key, at = anchors(h, doc, starts, self.window, wh)
-        d = doc[starts]
-        first = off[d - base]
-        self.parts.append((key, wh, d.astype(np.int32), (starts - first).astype(np.int32), (at - starts).astype(np.uint8)))
+        doc = np.repeat(np.arange(len(rows)), lengths)
+        starts = np.flatnonzero(doc[: len(doc) - self.window + 1] == doc[self.window - 1 :])
+        key, at = anchors(h, doc, starts, self.window)
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
+        a = np.flatnonzero(new)
+        d = doc[starts[a]]
+        first = np.cumsum(lengths) - lengths
+        self.parts.append((key[a].view(np.int64), np.array(ids, np.int64)[rows[d]], np.array(hs, np.int32)[rows[d]], starts[a] - first[d], at[a] - starts[a], np.diff(np.append(a, len(key)))))
         self.n += len(starts)
 
-    def flush(self) -> pa.RecordBatch | None:
-        if not self.n:
-            return None
+    def flush(self) -> pa.RecordBatch:
+        key, doc, h, start, off, many = (np.concatenate(x) for x in zip(*self.parts))
+        names, which, count = np.unique(key, return_inverse=True, return_counts=True)
+        n = np.where(count[which] > 1, 0, 1).astype(np.int32)
+        told = names[count > 1]
+        blank = pa.nulls(len(told), pa.int64())
+        cols = {"key": np.concatenate([key, told]), "n": np.concatenate([n, np.full(len(told), 2, np.int32)])}
+        out = {k: pa.array(v) for k, v in cols.items()}
+        for k, v, kind in (("doc", doc, pa.int64()), ("h", h, pa.int32()), ("start", start, pa.int32()), ("off", off, pa.int32()), ("many", many, pa.int32())):
+            out[k] = pa.concat_arrays([pa.array(v).cast(kind), blank.cast(kind)])
+        self.parts, self.n = [], 0
+        self.seen.clear()
+        return pa.record_batch(out)
+
+
+class _Packer(_Texts):
+    """Gathers windows over shared symbols, settles the repeats among them and packs the rest by bucket."""
+
+    def __init__(self, buckets: int, window: int) -> None:
+        super().__init__(window)
+        self.buckets = buckets
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts, self.ids, self.hs, self.n = [], [], [], 0
+        self.seen.clear()
+
+    def add(self, ids: list[int], hs: list[int], texts: list[bytes], listed: pa.ListArray) -> None:
+        """listed: for each text its anchors (key, start, off, many)."""
+        rows, lengths, h = self.hashes(ids, hs, texts)
+        if not len(rows):
+            return
+        wh = window_hashes(h, self.window)
+        offsets = listed.offsets.to_numpy()
+        many = np.diff(offsets)[rows]
+        fields = dict(zip(("key", "start", "off", "many"), (x.to_numpy(zero_copy_only=False) for x in listed.values.flatten())))
+        at = np.repeat(offsets[rows], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        local = np.repeat(np.arange(len(rows)), many)
+        key, start, off, n = (fields[x][at] for x in ("key", "start", "off", "many"))
+        o = np.lexsort((start, local))  # windows of a document in their order
+        key, start, off, n, local = key[o], start[o].astype(np.int64), off[o], n[o].astype(np.int64), local[o]
+        j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        begin = np.cumsum(lengths) - lengths
+        pos = np.repeat(start, n) + j
+        base = len(self.ids)
+        self.ids.extend(ids[k] for k in rows)
+        self.hs.extend(hs[k] for k in rows)
+        self.parts.append((np.repeat(key, n).view(_U), wh[np.repeat(begin[local], n) + pos], (base + np.repeat(local, n)).astype(np.int32), pos.astype(np.int32), (np.repeat(off, n) - j).astype(np.uint8)))
+        self.n += len(j)
+
+    def flush(self) -> pa.RecordBatch:
         key, wh, doc, pos, off = (np.concatenate(x) for x in zip(*self.parts))
         ids, hs = np.array(self.ids, np.int64), np.array(self.hs, np.int32)
         rank = np.unique(ids, return_inverse=True)[1]
-        gone = _repeats(wh, (rank[doc].astype(np.int64) << 32) | pos)
+        first = _firsts(_name(key, wh), (rank[doc].astype(np.int64) << 32) | pos)
+        gone = np.flatnonzero(first != np.arange(len(first)))
         blobs, to, kind = [], [], []
-        if gone.any():
-            g = np.flatnonzero(gone)
-            s, e = _ranges(doc[g], pos[g])
-            d, s, e = doc[g][s], pos[g][s], pos[g][e]
-            for lo in range(0, len(d), 20_000):
-                x = slice(lo, lo + 20_000)
-                blobs.append(b"".join(v.tobytes() for v in (ids[d[x]], hs[d[x]], s[x], e[x])))
-                to.append(int((ids[d[lo]] + lo) % self.buckets))
-                kind.append(1)
-            live = ~gone
-            key, wh, doc, pos, off = key[live], wh[live], doc[live], pos[live], off[live]
+        found = _ranges(gone, first[gone], rank, doc, pos, ids, hs)
+        for lo in range(0, len(found[0]), 20_000):
+            blobs.append(b"".join(v[lo : lo + 20_000].tobytes() for v in found))
+            to.append(int((found[0][lo] + lo) % self.buckets))
+            kind.append(1)
+        live = np.ones(len(key), bool)
+        live[gone] = False
+        key, wh, doc, pos, off = key[live], wh[live], doc[live], pos[live], off[live]
         # records: consecutive windows with one anchor
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1) | (off[1:] != off[:-1] - 1)
@@ -234,91 +303,103 @@ class _Packer:
         return pa.record_batch({"bucket": pa.array(to, pa.int32()), "kind": pa.array(kind, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
 
-RANGES = "doc bigint, h int, s int, e int"
-
-
-def _out(ids, hs, s, e) -> pa.Table:
-    return pa.table({"doc": pa.array(ids, pa.int64()), "h": pa.array(hs, pa.int32()), "s": pa.array(s, pa.int32()), "e": pa.array(e, pa.int32())})
-
-
 def _resolve(table: pa.Table) -> pa.Table:
     """One bucket: the ranges of window starts that repeat an earlier window."""
-    own: tuple[list, ...] = ([], [], [], [])
+    own: tuple[list, ...] = tuple([] for _ in _RANGE_KINDS)
     parts: tuple[list, ...] = ([], [], [], [], [], [], [])
+    width = sum(np.dtype(k).itemsize for k in _RANGE_KINDS)
     for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
         x = np.frombuffer(blob, np.uint8)
-        if kind == 1:
-            n, at = len(x) // 20, 0
-            for col, k in zip(own, ("<i8", "<i4", "<i4", "<i4")):
-                size = n * np.dtype(k).itemsize
-                col.append(x[at : at + size].view(k))
-                at += size
-            continue
-        n, at = int(x[:4].view("<u4")[0]), 4  # n records, then 6 bytes for each window
-        for col, k in zip(parts, ("<u8", "<i8", "<i4", "<i4", "u1", "u1")):
+        n, at = (len(x) // width, 0) if kind == 1 else (int(x[:4].view("<u4")[0]), 4)
+        for col, k in zip(own, _RANGE_KINDS) if kind == 1 else zip(parts, ("<u8", "<i8", "<i4", "<i4", "u1", "u1")):
             size = n * np.dtype(k).itemsize
             col.append(np.frombuffer(x[at : at + size].tobytes(), k))
             at += size
-        parts[6].append(_unpack48(x[at:]))
-    cols = [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(own, ("<i8", "<i4", "<i4", "<i4"))]
+        if kind == 0:
+            parts[6].append(_unpack48(x[at:]))  # 6 bytes for each window
+    cols = [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(own, _RANGE_KINDS)]
     if parts[0]:
         key, ids, hs, pos, off, many, wh = (np.concatenate(x) for x in parts)
-        o = np.argsort(key, kind="stable")
-        k = key[o]
-        eq = k[1:] == k[:-1]
-        shared = np.zeros(len(k), bool)
-        shared[1:] |= eq
-        shared[:-1] |= eq
-        r = np.sort(o[shared])
-        if len(r):
-            m = many[r].astype(np.int64)
-            begin = np.cumsum(many, dtype=np.int64) - many
-            rec = np.repeat(np.arange(len(r)), m)
-            j = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            w = wh[np.repeat(begin[r], m) + j]
-            same = _name(key[r][rec], w ^ ((off[r][rec] - j).astype(_U) << _U(56)))
-            p = pos[r][rec].astype(np.int64) + j
-            rank = np.unique(ids[r], return_inverse=True)[1]
-            gone = np.flatnonzero(_repeats(same, (rank[rec].astype(np.int64) << 32) | p))
-            s, e = _ranges(rec[gone], p[gone])
-            at = r[rec[gone[s]]] if len(s) else np.zeros(0, int)
-            for i, x in enumerate((ids[at], hs[at], p[gone[s]], p[gone[e]])):
-                cols[i] = np.concatenate([cols[i], x.astype(cols[i].dtype)])
-    return _out(*cols)
-
-
-def text_key(docs: DataFrame, text: str) -> Column:
-    """What tells apart the texts of one doc_id: a hash of the text if some doc_id occurs again, else nothing."""
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    return F.lit(0) if again.isEmpty() else F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int")
+        m = many.astype(np.int64)
+        rec = np.repeat(np.arange(len(key)), m)
+        j = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        same = _name(key[rec], wh ^ ((off[rec] - j).astype(_U) << _U(56)))
+        p = pos[rec].astype(np.int64) + j
+        rank = np.unique(ids, return_inverse=True)[1]
+        first = _firsts(same, (rank[rec].astype(np.int64) << 32) | p)
+        gone = np.flatnonzero(first != np.arange(len(first)))
+        more = _ranges(gone, first[gone], rank, rec, p, ids, hs)
+        cols = [np.concatenate([x, y]) for x, y in zip(cols, more)]
+    return pa.table({name.split()[0]: pa.array(x) for name, x in zip(RANGES.split(", "), cols)})
+
+
+def text_key(docs: DataFrame, text: str) -> tuple[Column, bool]:
+    """What tells apart the texts of one doc_id, and whether doc_ids are unique: a hash of the text if some doc_id occurs again, else nothing."""
+    unique = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    return (F.lit(0) if unique else F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int")), unique
+
+
+def shared_symbols(rows: DataFrame, window: int) -> DataFrame:
+    """(doc, h, key, start, off, many) from rows (doc, h, t): the anchors that occur more than once in all texts."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Symbols(window)
+        for batch in batches:
+            for part in c.slices(batch, "t", 4 << 20):
+                found.add(part.column("doc").to_pylist(), part.column("h").to_pylist(), part.column("t").to_pylist())
+                if found.n >= FLUSH_WINDOWS:
+                    yield found.flush()
+        if found.n:
+            yield found.flush()
+
+    symbols = c.materialize(rows.mapInArrow(send, SYMBOLS), "symbols")
+    total = F.sum("n").over(W.partitionBy("key"))
+    again = symbols.filter("n > 0").withColumn("total", total).filter("total > 1 and doc is not null")
+    cols = ["doc", "h", "key", "start", "off", "many"]
+    out = c.materialize(symbols.filter("n = 0").select(*cols).unionByName(again.select(*cols)), "shared")
+    c.discard(symbols)
+    return out
 
 
 def repeats(docs: DataFrame, *, window: int = WINDOW, text: str = "text", key: Column | None = None) -> DataFrame:
-    """(doc, h, s, e): windows starting at words s..e of that document repeat an earlier window.
+    """(doc, h, s, e, src, src_h, src_s): windows starting at words s..e of that document repeat the earlier windows from src_s on.
 
-    doc is doc_id, with the largest long for null; h is the text_key. Earlier: a smaller doc_id,
-    or the same and a smaller start.
+    doc is doc_id, with the largest long for null; h is the text_key. Earlier: a smaller doc_id, or the same and a smaller
+    start. The windows agree in 112 bits of hash; remove() compares their words.
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(256, size // BUCKET_BYTES)
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"),
-        (text_key(docs, text) if key is None else key).alias("h"),
+        (text_key(docs, text)[0] if key is None else key).alias("h"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"),
     )
+    shared = shared_symbols(rows, window)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = _Packer(buckets, window)
         for batch in batches:
-            for part in c.slices(batch, "t", 4 << 20):
-                pack.add(part.column("doc").to_pylist(), part.column("h").to_pylist(), part.column("t").to_pylist())
+            for part in c.slices(batch, "t", 2 << 20):
+                pack.add(part.column("doc").to_pylist(), part.column("h").to_pylist(), part.column("t").to_pylist(), part.column("listed"))
                 if pack.n >= FLUSH_WINDOWS:
                     yield pack.flush()
         if pack.n:
             yield pack.flush()
 
-    sent = rows.mapInArrow(send, "bucket int, kind int, blob binary")
-    return sent.groupBy("bucket").applyInArrow(_resolve, RANGES)
+    listed = shared.groupBy("doc", "h").agg(F.collect_list(F.struct("key", "start", "off", "many")).alias("listed"))
+    sent = rows.join(listed, ["doc", "h"]).select("doc", "h", "t", "listed").mapInArrow(send, "bucket int, kind int, blob binary")
+    out = c.materialize(sent.groupBy("bucket").applyInArrow(_resolve, RANGES), "repeats")
+    c.discard(shared)
+    return out
+
+
+def merged(ranges: DataFrame) -> DataFrame:
+    """Ranges that touch and repeat one stretch become one."""
+    w = W.partitionBy("doc", "h", "src", "src_h", "shift").orderBy("s", "e")
+    t = ranges.withColumn("shift", F.col("s") - F.col("src_s"))
+    t = t.withColumn("reach", F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1)))
+    t = t.withColumn("part", F.sum(F.when(F.col("s") <= F.col("reach") + 1, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return t.groupBy("doc", "h", "src", "src_h", "shift", "part").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("src_s").alias("src_s")).drop("shift", "part")
 
 
 def remove(docs: DataFrame, *, window: int = WINDOW, text: str = "text") -> DataFrame:
@@ -327,38 +408,54 @@ def remove(docs: DataFrame, *, window: int = WINDOW, text: str = "text") -> Data
     A word goes if a repeated window covers it; windows are those of the input. Null or empty text: no words, an empty
     kept_text. Texts shorter than the window are left alone. A null doc_id counts as one that is larger than all others.
     Equal rows get equal results and don't repeat each other. An empty table gives an empty result. Texts are never cut.
-    Other columns pass through; those with the names above are replaced.
+    Columns with the names above are replaced, all others pass through whatever their names.
     """
-    key = text_key(docs, text)
-    found = c.materialize(repeats(docs, window=window, text=text, key=key), "repeats")
-    by_doc = found.groupBy("doc", "h").agg(F.collect_list(F.struct("s", "e")).alias("_ranges")).withColumnsRenamed({"doc": "_doc", "h": "_h"})
-    left = (
-        docs.drop("n_words", "n_removed", "kept_text")
-        .withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
-        .withColumn("_h", key)
-    )
-    joined = left.join(by_doc, ["_doc", "_h"], "left").drop("_doc", "_h")
-    names = [x for x in joined.columns if x != "_ranges"]
-    schema = StructType([joined.schema[x] for x in names]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    key, unique = text_key(docs, text)
+    place = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), key.alias("h")]
+    found = repeats(docs, window=window, text=text, key=key)
+    wanted = c.materialize(merged(found), "wanted")
+    c.discard(found)
+    # the words of the earlier place travel to the repeat: about as many as will be removed
+    sources = docs.select(F.col(text).alias("t"), place[0].alias("src"), place[1].alias("src_h"))
+    if not unique:
+        sources = sources.dropDuplicates(["src", "src_h"])
+    words = F.slice(c.word_array(F.col("t")), F.col("src_s") + 1, F.col("e") - F.col("s") + window)
+    fetched = c.materialize(wanted.join(sources, ["src", "src_h"]).select("doc", "h", "s", "e", F.array_join(words, " ").alias("w")), "fetched")
+    by_doc = fetched.groupBy("doc", "h").agg(F.collect_list(F.struct("s", "e", "w")).alias("ranges"))
+    kept = [x for x in docs.columns if x.lower() not in {"n_words", "n_removed", "kept_text"}]
+    left = docs.select(F.struct(*[F.col(f"`{x}`") for x in kept]).alias("row"), *place)
+    joined = left.join(by_doc, ["doc", "h"], "left").select("row", "ranges")
+    where = kept.index(next(x for x in kept if x.lower() == text.lower()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in c.slices(whole, text):
-                total, gone, kept = [], [], []
-                for t, ranges in zip(batch.column(text).to_pylist(), batch.column("_ranges").to_pylist()):
+            for batch in c.slices(whole.append_column("t", whole.column("row").field(where)), "t"):
+                total, gone, left = [], [], []
+                for t, ranges in zip(batch.column("t").to_pylist(), batch.column("ranges").to_pylist()):
                     words = (t or "").encode().split()
                     total.append(len(words))
-                    if not ranges:
-                        gone.append(0)
-                        kept.append(b" ".join(words).decode())
-                        continue
                     edge = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(edge, [r["s"] for r in ranges], 1)
-                    np.add.at(edge, [r["e"] + window for r in ranges], -1)
-                    stay = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
+                    for r in ranges or ():
+                        for s, e in equal_windows(words, r["w"].encode().split(b" "), r["s"], window):
+                            edge[s] += 1
+                            edge[e] -= 1
+                    stay = np.flatnonzero(np.cumsum(edge[:-1]) == 0) if ranges else range(len(words))
                     gone.append(len(words) - len(stay))
-                    kept.append(b" ".join([words[i] for i in stay]).decode())
-                cols = [batch.column(x) for x in names]
-                yield pa.record_batch([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept_text"])
-
-    return joined.mapInArrow(cut, schema)
+                    left.append(b" ".join([words[i] for i in stay] if gone[-1] else words).decode())
+                yield pa.record_batch([batch.column("row"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], names=["row", "n_words", "n_removed", "kept_text"])
+
+    schema = joined.select("row", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
+    return joined.mapInArrow(cut, schema).select("row.*", "n_words", "n_removed", "kept_text")
+
+
+def equal_windows(words: list[bytes], other: list[bytes], start: int, window: int) -> Iterator[tuple[int, int]]:
+    """Stretches (from, to) of at least `window` words from `start` on in which `words` and `other` are equal."""
+    own = words[start : start + len(other)]
+    if own == other:
+        yield start, start + len(own)
+        return
+    run = 0
+    for i, (a, b) in enumerate(zip(own, other)):
+        run = run + 1 if a == b else 0
+        if run >= window and (i + 1 == min(len(own), len(other)) or own[i + 1] != other[i + 1]):
+            yield start + i + 1 - run, start + i + 1
