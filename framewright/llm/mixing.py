@@ -117,9 +117,10 @@ def assign(
         _source_key(F.col("source")).alias("s"),
     ).withColumn("bucket", F.conv(F.substring("order", 1, BUCKET_DIGITS), 16, 10).cast("int"))
     sized = c.materialize(sized, "sized")
-    totals = c.materialize(sized.groupBy("s", "bucket").agg(F.sum("size").alias("n")), "totals")
-    starts = totals.select("s", "bucket", (F.sum("n").over(W.partitionBy("s").orderBy("bucket")) - F.col("n")).alias("start"))
-    sources = totals.groupBy("s").agg(F.sum("n").alias("source_size"))
+    totals = c.running(sized.groupBy("s", "bucket").agg(F.sum("size").alias("n")), [F.col("s"), F.col("bucket")], {"before": "n"})
+    totals = c.materialize(totals, "totals")
+    sources = totals.groupBy("s").agg(F.sum("n").alias("source_size"), F.min("before").alias("base"))
+    starts = totals.join(c.small_enough(sources, 100_000), "s").select("s", "bucket", (F.col("before") - F.col("base")).alias("start"))
     named = F.when(F.col("s") != "n", F.expr("substring(s, 2)"))
     goals = c.materialize(targets(sources.select(named.alias("source"), "source_size"), weight, share, most), "goals")
     goals = goals.select(_source_key(F.col("source")).alias("s"), "source_size", "target", (schedule(F.col("rank")) if schedule else flat).alias("knots"))
