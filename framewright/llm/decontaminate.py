@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-RADIUS, BLOCK_ITEMS = 3, 2000
+#: Items in a block, and bytes of their texts, about.
+RADIUS, BLOCK_ITEMS, BLOCK_BYTES = 3, 2000, 8 << 20
 WIDTH, PERCENT = 5, 75
 #: Words handled at once within a text; longer texts go in overlapping pieces.
 PIECE_WORDS = 60_000
@@ -43,7 +44,7 @@ def ladder(words: int) -> tuple[int, int]:
     best, size = (1, 1), 1
     while True:
         stride = max(1, size // 4)
-        if size + stride - 1 > words or size > 40_000:
+        if size + stride - 1 > words:
             return best
         best = (size, stride)
         size = max(size + 1, size * 5 // 4)
@@ -52,10 +53,10 @@ def ladder(words: int) -> tuple[int, int]:
 def running(h: np.ndarray, longest: int) -> np.ndarray:
     """Running counts of the 64 bits over the words' hashes, one row more than words.
 
-    The counts lie side by side in 64-bit numbers, 8 bits each (16 if a window may be longer than 255 words). They
+    The counts lie side by side in 64-bit numbers, 8 bits each (16 or 32 if a window may be longer than 255 or 65,535 words). They
     overflow into each other, but a difference over a window is exact, as each of its counts fits.
     """
-    lane = np.uint8 if longest < 256 else np.uint16
+    lane = np.uint8 if longest < 1 << 8 else np.uint16 if longest < 1 << 16 else np.uint32
     bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(lane)
     bits = bits.view("<u8")
     out = np.zeros((len(h) + 1, bits.shape[1]), _U)
@@ -65,7 +66,7 @@ def running(h: np.ndarray, longest: int) -> np.ndarray:
 
 def simhashes(sums: np.ndarray, size: int, starts: np.ndarray) -> np.ndarray:
     """64-bit fingerprints of the windows of `size` words that begin at `starts`: the majority of each bit."""
-    lane = np.uint8 if sums.shape[1] == 8 else np.uint16
+    lane = {8: np.uint8, 16: np.uint16, 32: np.uint32}[sums.shape[1]]
     counts = (sums[starts + size] - sums[starts]).view(lane)
     return np.packbits(counts > size // 2, axis=1, bitorder="little").view("<u8").reshape(-1)
 
@@ -309,16 +310,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, percent: int = PERCENT, te
     Every item is found (other case or white space aside) whose weighted similarity to as many words of the document in a
     row, or to what the document's ends leave of them, is percent or more; percent is 1 at least.
     Null or empty texts, and items without words, match nothing. Repeated rows are reported for each row; items with equal
-    texts each. A null doc_id is carried through. An empty table on either side gives an empty result.
+    texts each. Of equally similar places the first is given. A null doc_id is carried through. An empty table on either side
+    gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     items = benchmark.filter(F.col("text").isNotNull()).select("item_id", F.col("text").cast("binary").alias("t"))
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
+    blocks = max(1, -(-size.n // BLOCK_ITEMS), -(-size.b // BLOCK_BYTES))
     schema = "doc_id long, h long, item_id long, start long, similarity double"
     out = None
     for k in range(blocks):
-        # about BLOCK_ITEMS items each: bounded however many there are
+        # about BLOCK_ITEMS items or BLOCK_BYTES each: bounded however many there are and however long they are together
         block = items.filter(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == k)
         index = spark.sparkContext.broadcast(Index([(r[0], bytes(r[1])) for r in block.orderBy("item_id", "t").collect()], percent))
 
@@ -339,7 +342,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, percent: int = PERCENT, te
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, percent: int = PERCENT, text: str = "text") -> DataFrame:
-    """The rows of `docs`, unchanged, in which no benchmark item was found."""
+    """The rows of `docs`, unchanged, in which no benchmark item was found; rows of one doc_id are told apart by their texts.
+
+    Null and empty texts are clean. An empty benchmark leaves all rows.
+    """
     found = c.materialize(matches(docs, benchmark, percent=percent, text=text).select("doc_id", "h").distinct(), "leaks")
-    leaks = c.small_enough(found.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), 1_000_000)
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_h")), "left_anti")
+    leaks = c.small_enough(found, 1_000_000)
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64(docs[text]) == found["h"]), "left_anti")

@@ -140,7 +140,7 @@ class _Packer:
         most = self.bands.differ(n, np.minimum(n * 100 // self.bands.p, self.bands.hi[band]))
         share = n1 - most // 2
         sound = holes < share
-        need = np.where(sound, share - holes, share)
+        need = np.where(sound, share - holes, 1)  # a sound partner doesn't send what an unsound set may share with it
         keep = ~empty | ~sound[:, None, None]
         self.sigs.append(sig[keep])
         self.refs.append(np.broadcast_to((index * 2 + which)[:, None, None], keep.shape)[keep].astype(np.int32))
@@ -420,6 +420,9 @@ def _prefix_pairs(rest: DataFrame, percent: int) -> DataFrame:
     place = F.row_number().over(W.partitionBy("node").orderBy("df", "token"))
     first = tokens.join(often, "token").withColumn("_i", place).filter(F.col("_i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     first = c.materialize(first.filter("df > 1").select("token", "node", "comp", "n", (F.col("n") - F.col("_i") + 1).alias("left")), "prefixes")
+    # a token whose sets are all in one component forms no pair
+    apart = first.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    first = c.materialize(first.join(apart, "token"), "tokens-apart")
     side = lambda x: first.select("token", F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("left").alias(f"l{x}"))
     # sizes have to fit, and at the first common shingle what is left of both has to suffice
     met = (

@@ -1,9 +1,9 @@
 """Language identification as mixture inference.
 
 Languages are distributions over hashed letter trigrams. A document is a mixture of languages whose words each come from
-one language; expectation-maximisation estimates the proportions from the words' trigram likelihoods. Sets of one, two and
-three languages (the largest proportions) are refitted, and the set with the best likelihood less a penalty of half the
-logarithm of the number of words for each language beyond the first is chosen.
+one language; expectation-maximisation estimates the proportions from the words' trigram likelihoods. Sets of one, two,
+three and more languages (those with the largest proportions) are refitted as long as each is better than the one before by
+its likelihood less half the logarithm of the number of words for each language beyond the first.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from . import common as c
 BUCKETS = 1 << 15
 #: About so many documents of each language are used to learn its trigrams.
 FIT_ROWS = 1000
-MOST_LANGUAGES = 3
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -89,18 +88,27 @@ def infer(texts: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(np.append(starts, len(owner)))
     best = np.full(len(who), -np.inf)
     out = np.zeros_like(share)
-    for size in range(1, min(MOST_LANGUAGES, m) + 1):
-        mask = np.zeros_like(share)
-        np.put_along_axis(mask, rank[:, :size], 1, 1)
+    live = np.arange(len(who))  # texts that the last set made better
+    for size in range(1, m + 1):
+        if not len(live):
+            break
+        keep = np.zeros(len(who), bool)
+        keep[live] = True
+        words = np.flatnonzero(keep[local])
+        l, count = lik[words], n[live]
+        begin, own = np.cumsum(count) - count, np.repeat(np.arange(len(live)), count)
+        mask = np.zeros((len(live), m), np.float32)
+        np.put_along_axis(mask, rank[live, :size], 1, 1)
         s = mask / size
         if size > 1:
-            s = share * mask + 1e-6 * mask
-            s = _em(lik, weight, starts, local, (s / s.sum(1, keepdims=True)).astype(np.float32), 3)
-        fit = np.add.reduceat(np.log(np.maximum((lik * s[local]).sum(1), 1e-30)), starts)
-        value = fit - 0.5 * (size - 1) * np.log(np.maximum(n, 2)) * 2
-        better = value > best
-        best[better] = value[better]
-        out[better] = s[better]
+            s = share[live] * mask + 1e-6 * mask
+            s = _em(l, weight[words], begin, own, (s / s.sum(1, keepdims=True)).astype(np.float32), 3)
+        fit = np.add.reduceat(np.log(np.maximum((l * s[own]).sum(1), 1e-30)), begin)
+        value = fit - 0.5 * (size - 1) * np.log(np.maximum(count, 2))
+        better = value > best[live]
+        live = live[better]
+        best[live] = value[better]
+        out[live] = s[better]
     chosen[who] = out
     return full, chosen
 
@@ -114,7 +122,11 @@ class Model:
 
 
 def train(docs: DataFrame, *, fit_rows: int = FIT_ROWS, text: str = "text", lang: str = "lang") -> Model:
-    """Learn from about `fit_rows` documents of each non-null language: those with the smallest hashes of their doc_id."""
+    """Learn from about `fit_rows` documents of each non-null language: those with the smallest hashes of their doc_id.
+
+    Rows without text or lang teach nothing; repeated rows count again; rows of one doc_id are taken or left together. An empty
+    table gives a model without languages. The driver gets BUCKETS counts for each language at most.
+    """
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = known.groupBy(lang).agg(F.count("*").alias("_n"))  # one row for each language
     part = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)).alias("_u")

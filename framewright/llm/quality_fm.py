@@ -146,7 +146,11 @@ def _rows(docs: DataFrame, text: str, *more) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, text: str = "text") -> Machine:
-    """Fit on at most `fit_rows` rows of (doc_id, label) with label 0 or 1; rows with a null label or doc_id are left out."""
+    """Fit on at most `fit_rows` rows of (doc_id, label) with label 0 or 1; rows with a null label or doc_id are left out.
+
+    A label counts for every document row of its doc_id, whatever its text. No labels, or none with a document, give an
+    untrained machine, which scores near 0.5. The driver gets the fitted rows' features: a doc has BUCKETS distinct ones at most.
+    """
     chosen = labels.filter("doc_id is not null and label is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(fit_rows)
     # at most fit_rows small rows, so broadcasting them is safe whatever the size of `docs`
     picked = docs.join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
@@ -157,13 +161,13 @@ def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, text:
             for part in c.slices(batch, "t", 2 << 20):
                 rows, bucket, value, stats = features(part.column("t").to_pylist(), part.column("claim").to_pylist(), hasher)
                 cut = np.searchsorted(rows, np.arange(part.num_rows + 1))
-                pieces = [(bucket[a:b].astype("<i4").tobytes(), value[a:b].astype("<f4").tobytes(), s.astype("<f4").tobytes()) for a, b, s in zip(cut, cut[1:], stats)]
+                pieces = [(bucket[a:b].astype("<u2").tobytes(), value[a:b].astype("<f4").tobytes(), s.astype("<f4").tobytes()) for a, b, s in zip(cut, cut[1:], stats)]
                 yield pa.record_batch([part.column("doc_id"), part.column("label"), *[pa.array(x, pa.binary()) for x in zip(*pieces)]], names=["doc_id", "label", "i", "x", "s"])
 
     found = _rows(picked, text, F.col("label").cast("int").alias("label")).mapInArrow(run, "doc_id long, label int, i binary, x binary, s binary")
     got = sorted(found.collect(), key=lambda r: (r.doc_id, r.label, bytes(r.i)))
     model = Machine()
-    model.fit([(np.frombuffer(r.i, "<i4"), np.frombuffer(r.x, "<f4"), np.frombuffer(r.s, "<f4")) for r in got], np.array([r.label for r in got], float))
+    model.fit([(np.frombuffer(r.i, "<u2").astype(np.int64), np.frombuffer(r.x, "<f4"), np.frombuffer(r.s, "<f4")) for r in got], np.array([r.label for r in got], float))
     return model
 
 
