@@ -105,15 +105,15 @@ class Machine:
         squares = np.add.reduceat((vx * vx).sum(1), starts)
         return self.b + linear + 0.5 * ((s * s).sum(1) - squares), s
 
-    def fit(self, data: list[tuple], labels: np.ndarray, epochs: int = 15, rate: float = 0.05, decay: float = 1e-4, batch: int = 64, seed: int = 11) -> None:
-        """AdaGrad on the logistic loss. data: per document (bucket, value, stats)."""
+    def fit(self, data: list[tuple], labels: np.ndarray, steps: int = 900, rate: float = 0.05, decay: float = 1e-4, batch: int = 64, seed: int = 11) -> None:
+        """AdaGrad on the logistic loss, in about `steps` batches. data: per document (bucket, value, stats)."""
         if not len(data):
             return
         stats = np.stack([d[2] for d in data])
         self.mean, self.dev = stats.mean(0), stats.std(0) + 1e-3
         rng = np.random.default_rng(seed)
         gw, gv, gb = np.full_like(self.w, 1e-3), np.full_like(self.v, 1e-3), 1e-3
-        for _ in range(epochs):
+        for _ in range(-(-steps * batch // len(data))):
             order = rng.permutation(len(data))
             for lo in range(0, len(order), batch):
                 pick = order[lo : lo + batch]

@@ -1,13 +1,18 @@
 """The corpus queries against SQL, and the pipeline against its parts."""
 
+import hashlib
+import math
+import random
 import sys
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, __file__.rsplit("/", 2)[0])
 from test_catalogue import compare  # noqa: E402
 
+from framewright.llm import chat_format, decontaminate, license_scan  # noqa: E402
 from framewright.llm import queries as q  # noqa: E402
 
 
@@ -26,55 +31,176 @@ def test_token_counts_are_the_librarys(spark, data):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 1024)
 
 
-def test_decontamination_finds_every_exact_passage(spark, data):
-    squash = lambda t: " " + " ".join(t.lower().split()) + " "
-    docs = {r.doc_id: squash(r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
-    items = {r.item_id: squash(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
-    want = {(d, i) for d, t in docs.items() for i, x in items.items() if x in t}
-    got = {(r.doc_id, r.item_id) for r in q.op2_decontamination(spark, data).collect()}
-    assert want <= got
-
+def _texts(spark, data, name="documents", key="doc_id"):
+    return {r[key]: r.text or "" for r in spark.read.parquet(f"{data}/{name}.parquet").collect()}
+
+
+def _windowed(words: list[str], item: list[str]) -> tuple[int, int]:
+    """The best weighted similarity of the item to any place of the text, as (low, high); brute force."""
+    known = decontaminate.shingles(item)
+    near = [i for i in range(len(words)) if tuple(words[i : i + min(5, len(item))]) in known]
+    best = 0, 1
+    for start in sorted({i + d for i in near for d in range(-len(item), len(item))}):
+        low, high = decontaminate.similarity(decontaminate.shingles(words[max(0, start) : max(0, start + len(item))]), known)
+        if high and low * best[1] > best[0] * high:
+            best = low, high
+    return best
+
+
+def _leaks(texts: dict, items: dict) -> dict:
+    """(document, item) -> similarity, for all pairs of 0.75 or more."""
+    split = lambda t: t.lower().split()
+    out = {}
+    for i, x in items.items():
+        x = split(x)
+        known = decontaminate.shingles(x)
+        for d, t in texts.items():
+            w = split(t)
+            if x and not known.keys().isdisjoint(decontaminate.shingles(w)) or (len(x) < 5 and x):
+                low, high = _windowed(w, x)
+                if 100 * low >= 75 * high:
+                    out[d, i] = low / high
+    return out
+
+
+def test_decontamination_is_brute_force(spark, data):
+    want = _leaks(_texts(spark, data), _texts(spark, data, "benchmark", "item_id"))
+    got = {(r.doc_id, r.item_id): r.similarity for r in q.op2_decontamination(spark, data).collect()}
+    assert got == pytest.approx(want) and len(want) >= 3
+
+
+def test_decontamination_of_edited_items(spark, data):
+    """Words changed, inserted or deleted at two rates: every copy of the required similarity is found, no other."""
+    rng = random.Random(4)
+    items = _texts(spark, data, "benchmark", "item_id")
+    texts, filler = {}, " ".join(_texts(spark, data).values()).split()
+    for i, x in items.items():
+        for every in (20, 50):
+            for how in ("change", "insert", "delete"):
+                w = x.split()
+                for at in sorted(rng.sample(range(len(w)), max(1, len(w) // every)), reverse=True):
+                    w[at : at + (how != "insert")] = [] if how == "delete" else [rng.choice(filler)]
+                a = rng.randrange(len(filler) - 60)
+                texts[len(texts)] = " ".join(filler[a : a + 30] + w + filler[a + 30 : a + 60])
+    want = _leaks(texts, items)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matches(docs, spark.read.parquet(f"{data}/benchmark.parquet")).collect()}
+    assert got == pytest.approx(want) and len({d for d, _ in want}) > len(texts) // 3
+
+
+def test_classifier_on_held_out_rows(spark, data):
+    data = data.replace("sf0.001", "sf0.01")  # the smaller table has a handful of bad documents
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    rows = q.op3_quality_classifier(spark, data).join(labels, "doc_id").filter("held_out").collect()
+    good, bad = [r.score for r in rows if r.quality == 1], [r.score for r in rows if r.quality == 0]
+    assert good and bad
+    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad)) >= 0.98
+    assert sum(r.predicted == 0 for r in rows if r.quality == 1) <= 0.1 * len(good)
+    assert sum(r.predicted == 1 for r in rows if r.quality == 0) <= 0.2 * len(bad)
+
+
+def test_language_on_held_out_rows(spark, data):
+    found = q.op9_language_id(spark, data).join(spark.read.parquet(f"{data}/documents.parquet"), "doc_id").filter("held_out")
+    assert found.filter("lang <> lang_pred").count() <= 0.03 * found.count()
 
-def test_classifier_and_language_on_held_out_rows(spark, data):
-    import framewright.session as session
 
-    labels = session.table(spark, data, "labels")
-    scored = q.op3_quality_classifier(spark, data).join(labels, "doc_id")
-    assert scored.filter("score < 0 or score > 1").count() == 0
-    assert scored.filter("quality = 1 and predicted = 0").count() <= 0.1 * scored.count()
-    found = q.op9_language_id(spark, data).join(session.table(spark, data, "documents"), "doc_id").filter("held_out")
-    assert found.filter("lang <> lang_pred").count() <= 0.03 * found.count()
+def test_conversations_come_in_several_layouts(spark, data):
+    rows = spark.read.parquet(f"{data}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    marks = chat_format.canonical(chat_format.conversations_as_records(rows)).groupBy("fingerprint", "layout").count().collect()
+    assert len(marks) >= 4 and all(r.layout for r in marks)
 
 
-def test_licence_lines(spark, data):
-    lines = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    want = {(r.doc_id, r.paragraph) for r in lines.filter("lower(line) rlike 'licensed under|released under'").collect()}
+def test_licence_paragraphs(spark, data):
+    parts = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", F.posexplode(F.split("text", license_scan.BLANK)).alias("paragraph", "part"))
+    want = {(r.doc_id, r.paragraph) for r in parts.filter("lower(part) rlike 'licensed under|released under'").collect()}
     got = {(r.doc_id, r.paragraph) for r in q.op6_license_scan(spark, data).collect()}
     assert got == want
 
 
-def test_pipeline(spark, data):
-    import corpus_pipeline as p
-
-    out = p.run(spark, data)
-    rows = out.collect()
-    docs = {r.doc_id: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
-    kept = {r.doc_id for r in q.op7_quality_rules(spark, data).filter("kept").collect()}
-    leaks = {r.doc_id for r in q.op2_decontamination(spark, data).collect()}
-    ids = {r.doc_id for r in rows}
-    assert ids <= kept
-    assert [r.position for r in rows] == sorted(r.position for r in rows)
-    for r in rows:
-        assert set(r.text.split()) <= set(docs[r.doc_id].text.split())
-    untouched = {r.doc_id for r in rows if r.text == docs[r.doc_id].text}
-    assert not untouched & leaks
-    comps = {r.doc_id: r.component_id for r in q.jaccard_join.join(spark.read.parquet(f"{data}/documents.parquet").filter(F.col("doc_id").isin(list(kept)))).collect()}
-    assert all(comps[i] == i for i in ids)
-    # what remains repeats no 20 words
-    seen = set()
-    for doc_id, text in sorted({(r.doc_id, r.text) for r in rows if r.doc_id in untouched}):
-        w = text.split()
+def _near_duplicates(texts: dict) -> set:
+    """The smallest document of each component of links; brute force."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for d, t in texts.items():
+        w = t.translate(lower).encode().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    root = {d: d for d in texts}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = sorted((top(a), top(b)))
+                    root[y] = x
+    return {d for d in texts if top(d) == d}
+
+
+def _without_repeats(texts: dict) -> dict:
+    seen, out = set(), {}
+    for d in sorted(texts):
+        w, gone = texts[d].encode().split(), set()
         for i in range(len(w) - 19):
             g = tuple(w[i : i + 20])
-            assert g not in seen
+            if g in seen:
+                gone |= set(range(i, i + 20))
             seen.add(g)
+        if len(gone) < len(w) or not gone:
+            out[d] = b" ".join(x for i, x in enumerate(w) if i not in gone).decode() if gone else texts[d]
+    return out
+
+
+def _mix(texts: dict, source: dict) -> list:
+    """(doc_id, epoch, words, position) by the rules of the mix, one source after the other."""
+    key = lambda s: (s is None, (s or "").encode())
+    size = {d: len(t.encode().split()) for d, t in texts.items()}
+    names = sorted({source[d] for d in texts}, key=key)
+    own = {s: sum(size[d] for d in texts if source[d] == s) for s in names}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    open_, target, left = set(names), {}, 1.5 * sum(own.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if 2 * own[s] < level * weight[s]]
+        for s in full or list(open_):
+            target[s] = 2.0 * own[s] if full else level * weight[s]
+            left -= target[s]
+            open_.remove(s)
+    out = []
+    for i, s in enumerate(names):
+        f0, f1 = ((2, 1), (1, 2), (1, 1))[i % 3]
+        at = 0
+        for epoch in (0, 1):
+            for d in sorted((d for d in texts if source[d] == s), key=lambda d: hashlib.md5(str(d).encode()).hexdigest()):
+                n = max(0, min(size[d], int(target[s]) - at))
+                if n:
+                    u = min(1.0, (at + n / 2) / max(1.0, target[s])) * (f0 + f1) / 2
+                    out.append((d, epoch, n, 2 * u / (f0 + math.sqrt(max(0.0, f0 * f0 + 2 * (f1 - f0) * u)))))
+                at += size[d]
+    return out
+
+
+def test_pipeline_is_brute_force(spark, data):
+    import corpus_pipeline as p
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{data}/documents.parquet'")
+    source = dict(con.execute("select doc_id, source from documents").fetchall())
+    kept = {r[0] for r in con.execute(f"select doc_id from ({q.SQL['op7_quality_rules']}) where kept").fetchall()}
+    texts = {d: t for d, t in _texts(spark, data).items() if d in kept}
+    whole = dict(texts)
+    firsts = _near_duplicates(texts)
+    texts = _without_repeats({d: t for d, t in texts.items() if d in firsts})
+    leaks = {d for d, _ in _leaks(texts, _texts(spark, data, "benchmark", "item_id"))}
+    texts = {d: t for d, t in texts.items() if d not in leaks}
+    want = {(d, e): (n, round(x, 9)) for d, e, n, x in _mix(texts, source)}
+    rows = p.run(spark, data).collect()
+    assert {(r.doc_id, r.epoch): (r.words, pytest.approx(r.position, abs=1e-8)) for r in rows} == want
+    assert all(r.text == texts[r.doc_id] for r in rows)
+    assert [r.position for r in rows] == sorted(r.position for r in rows)
+    # every stage had something to do
+    assert len(whole) < len(source) and len(firsts) < len(whole) and leaks and any(t != whole[d] for d, t in texts.items())
