@@ -402,6 +402,36 @@ def merged(ranges: DataFrame) -> DataFrame:
     return t.groupBy("doc", "h", "src", "src_h", "shift", "part").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("src_s").alias("src_s")).drop("shift", "part")
 
 
+#: Places of one source that are fetched together; a source that very many documents repeat is read several times.
+TOGETHER = 4096
+
+
+def fetch(wanted: DataFrame, sources: DataFrame, window: int) -> DataFrame:
+    """(doc, h, s, e, w) from ranges and rows (src, src_h, t): w is what stands at the earlier place, words joined by one space."""
+    n = F.count("*").over(W.partitionBy("src", "src_h"))
+    part = F.pmod(F.xxhash64("doc", "h", "s"), F.expr(f"1 + n div {TOGETHER}")).alias("part")
+    asked = wanted.withColumn("n", n).select("src", "src_h", part, F.struct("doc", "h", "s", "e", "src_s").alias("r"))
+    asked = asked.groupBy("src", "src_h", "part").agg(F.collect_list("r").alias("asked"))
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in c.slices(whole, "t", 1 << 20):
+                listed = batch.column("asked")
+                cols = dict(zip(("doc", "h", "s", "e", "src_s"), (x.to_numpy(zero_copy_only=False) for x in listed.flatten().flatten())))
+                ends = np.cumsum([len(x) for x in listed]).tolist()
+                first, out = cols["src_s"].tolist(), []
+                last = (cols["src_s"] + cols["e"] - cols["s"] + window).tolist()
+                at = 0
+                for t, end in zip(batch.column("t").to_pylist(), ends):
+                    words = t.split()
+                    out.extend(b" ".join(words[a:z]) for a, z in zip(first[at:end], last[at:end]))
+                    at = end
+                yield pa.record_batch([*(pa.array(cols[k], kind) for k, kind in zip(("doc", "h", "s", "e"), kinds)), pa.array(out, pa.binary())], names=["doc", "h", "s", "e", "w"])
+
+    return sources.join(asked, ["src", "src_h"]).select("t", "asked").mapInArrow(run, "doc long, h int, s int, e int, w binary")
+
+
 def remove(docs: DataFrame, *, window: int = WINDOW, text: str = "text") -> DataFrame:
     """`docs` with n_words, n_removed and kept_text (the words that stay, joined by one space).
 
@@ -415,12 +445,10 @@ def remove(docs: DataFrame, *, window: int = WINDOW, text: str = "text") -> Data
     found = repeats(docs, window=window, text=text, key=key)
     wanted = c.materialize(merged(found), "wanted")
     c.discard(found)
-    # the words of the earlier place travel to the repeat: about as many as will be removed
-    sources = docs.select(F.col(text).alias("t"), place[0].alias("src"), place[1].alias("src_h"))
+    sources = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"), place[0].alias("src"), place[1].alias("src_h"))
     if not unique:
         sources = sources.dropDuplicates(["src", "src_h"])
-    words = F.slice(c.word_array(F.col("t")), F.col("src_s") + 1, F.col("e") - F.col("s") + window)
-    fetched = c.materialize(wanted.join(sources, ["src", "src_h"]).select("doc", "h", "s", "e", F.array_join(words, " ").alias("w")), "fetched")
+    fetched = c.materialize(fetch(wanted, sources, window), "fetched")
     by_doc = fetched.groupBy("doc", "h").agg(F.collect_list(F.struct("s", "e", "w")).alias("ranges"))
     kept = [x for x in docs.columns if x.lower() not in {"n_words", "n_removed", "kept_text"}]
     left = docs.select(F.struct(*[F.col(f"`{x}`") for x in kept]).alias("row"), *place)
@@ -436,7 +464,7 @@ def remove(docs: DataFrame, *, window: int = WINDOW, text: str = "text") -> Data
                     total.append(len(words))
                     edge = np.zeros(len(words) + 1, np.int32)
                     for r in ranges or ():
-                        for s, e in equal_windows(words, r["w"].encode().split(b" "), r["s"], window):
+                        for s, e in equal_windows(words, r["w"].split(b" "), r["s"], window):
                             edge[s] += 1
                             edge[e] -= 1
                     stay = np.flatnonzero(np.cumsum(edge[:-1]) == 0) if ranges else range(len(words))
