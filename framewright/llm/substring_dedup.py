@@ -91,8 +91,9 @@ def anchors(h: np.ndarray, doc: np.ndarray, starts: np.ndarray, window: int):
     a, b = group[a] + 1, group[b] - 1
     some = a <= b
     alone = live[~some]
-    if len(alone):
-        key[alone] = [int(window_hashes(h[i : i + window], window)[0]) for i in starts[alone].tolist()]
+    for i in range(window if len(alone) else 0):
+        with np.errstate(over="ignore"):
+            key[alone] = key[alone] * _BASE + h[starts[alone] + i]
     live, a, b = live[some], a[some], b[some]
     for r in range(ROUNDS + 1):
         if not len(live):
