@@ -16,7 +16,7 @@ from .session import local_session
 from .sources import container, files
 
 
-def pack(spark, folder: str, out: str, target_size: float | None, audio_bandwidth: float) -> None:
+def pack(spark, folder: str, out: str, target_size: float | None, audio_bandwidth: float, quality: int | None = None) -> None:
     rows = files.scan(spark, folder, content=True)
     if rows.isEmpty():
         raise SystemExit(f"no media files in {folder}")
@@ -26,11 +26,20 @@ def pack(spark, folder: str, out: str, target_size: float | None, audio_bandwidt
     numbered = rows.withColumn("entry_idx", F.rank().over(pl.W.orderBy("name")) - 1)  # a listing, one row for each file
     entries = numbered.select(
         F.lit(os.path.basename(out)).alias("file"), "entry_idx", F.create_map(*[F.lit(x) for kv in kind.items() for x in kv])[F.col("modality")].alias("modality"),
-        "name", p["quality"].alias("quality"), F.lit(float(floor.bandwidth)).cast("float").alias("bandwidth"), F.col("content").alias("payload"),
+        "name", (p["quality"] if target_size is not None or quality is None else F.lit(quality)).alias("quality"), F.lit(float(floor.bandwidth)).cast("float").alias("bandwidth"), F.col("content").alias("payload"),
     )
     container.write(container.pack(entries), os.path.dirname(os.path.abspath(out)))
     before = rows.agg(F.sum("length")).first()[0]
-    print(f"{out}: {os.path.getsize(out):,} bytes from {before:,}; {spark.range(1).select(pl.describe(p)).first()[0]}")
+    after = os.path.getsize(out)
+    lines = [pl.describe(p), pl.saved_line(F.lit(before), F.lit(after))]
+    if target_size is not None:
+        lines.append(pl.target_line(pl.target_bytes(F.lit(before), F.lit(float(target_size))), F.lit(after)))
+    for line in spark.range(1).select(*lines).first():
+        print(f"{out}: {line}")
+    if spark.range(1).select(p["lossless"]).first()[0]:
+        back = container.read(spark, out).select("name", F.col("payload").alias("recovered")).join(rows.select("name", "content"), "name")
+        for r in pl.fidelity_report(back, "content", "recovered", F.lit(True)).orderBy("name").collect():
+            print(f"{r.name}: {r.outcome} (original {r.hash_a}, recovered {r.hash_b})")
 
 
 def unpack(spark, path: str, originals: str | None) -> None:
@@ -52,6 +61,7 @@ def main() -> None:
     a.add_argument("--out")
     a.add_argument("--target-size", type=float)
     a.add_argument("--audio-bandwidth", type=float, default=3.0)
+    a.add_argument("--quality", type=int, choices=range(1, 7))
     b = sub.add_parser("unpack")
     b.add_argument("file")
     b.add_argument("--originals")
@@ -61,7 +71,7 @@ def main() -> None:
     spark = local_session(4, "2g", **{"spark.ui.showConsoleProgress": "false"})
     if args.what == "pack":
         folder = args.folder.rstrip("/")
-        pack(spark, folder, args.out or os.path.splitext(folder)[0] + ".mpack", args.target_size, args.audio_bandwidth)
+        pack(spark, folder, args.out or os.path.splitext(folder)[0] + ".mpack", args.target_size, args.audio_bandwidth, args.quality)
     elif args.what == "unpack":
         unpack(spark, args.file, args.originals)
     else:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ QUALITY_BITS = {1: 4, 2: 4, 3: 4, 4: 5, 5: 6, 6: 7, 7: 8, 8: 8}
 CHANNEL_QUALITY = {128: 1, 192: 3, 320: 5}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind `value` to a name inside an expression, so that it is computed once for a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -90,6 +97,47 @@ def mirror(i: Column, n: Column) -> Column:
     return F.when(i < n, i).otherwise(2 * (n - 1) - i)
 
 
+def crop(pixels: Column, width: Column | int, to_width: Column | int, to_height: Column | int) -> Column:
+    """The upper left part of a row-major array of `width` columns."""
+    n = lambda x: F.lit(x) if isinstance(x, int) else x
+    return F.flatten(F.transform(F.sequence(F.lit(0), n(to_height) - 1), lambda y: F.slice(pixels, y * n(width) + 1, n(to_width))))
+
+
+def reflect_pad(pixels: Column, width: int, height: int, to_width: int, to_height: int) -> Column:
+    """A row-major array enlarged to the right and below by reflection."""
+    at = lambda y, x: F.get(pixels, mirror(y, F.lit(height)) * width + mirror(x, F.lit(width)))
+    cells = F.sequence(F.lit(0), F.lit(to_width * to_height - 1))
+    return F.transform(cells, lambda i: at(F.floor(i / to_width).cast("int"), i % to_width))
+
+
+def silence(seconds: Column, rate: Column) -> Column:
+    """As many zeros as a signal of that length has samples: what stands in where there is no text or no voice."""
+    return F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.floor(seconds * rate)).cast("int"))
+
+
+def gcd(a: Column, b: Column) -> Column:
+    """The greatest common divisor of two non-negative integers, by division with remainder."""
+    start = F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
+    step = lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, s["b"]).otherwise(F.try_mod(s["a"], s["b"])).alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s["a"])  # longs take 91 steps at most
+
+
+def rate_ratio(source: Column, target: Column) -> Column:
+    """up and down: the smallest integers in the ratio of two sample rates."""
+    return let(gcd(source, target), lambda g: F.struct((target / g).cast("bigint").alias("up"), (source / g).cast("bigint").alias("down")))
+
+
+def sorted_map(m: Column) -> Column:
+    """A map with its keys in order."""
+    return F.map_from_entries(F.sort_array(F.map_entries(m)))
+
+
+def is_container(content: Column) -> Column:
+    """Whether bytes begin with the container's mark and a version that can be read."""
+    version = F.conv(F.hex(F.substring(content, 5, 1)), 16, 10).cast("int")
+    return F.coalesce((F.substring(content, 1, 4) == F.lit(b"TINY")) & version.between(1, 8), F.lit(False))
+
+
 def from_map(table: dict[int, int], key: Column, default: int) -> Column:
     pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     return F.coalesce(F.try_element_at(pairs, key), F.lit(default))
@@ -138,6 +186,11 @@ def sha12(content: Column) -> Column:
     return F.substring(F.sha2(content, 256), 1, 12)
 
 
+def thousands(n: Column) -> Column:
+    """An integer with commas between thousands."""
+    return F.format_number(n, 0)
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != ""))
 

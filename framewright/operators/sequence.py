@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -76,16 +77,40 @@ def pre_emphasis(df: DataFrame, keys: list[str], at: str, value: str, a: float =
     return df.withColumn("emphasised", F.col(value) - a * F.coalesce(F.lag(value).over(W.partitionBy(*keys).orderBy(at)), F.lit(0.0)))
 
 
+BLOCK = 256
+
+
+def recursion(x: np.ndarray, b: tuple[float, float, float], a: tuple[float, float, float]) -> np.ndarray:
+    """The filter a0 y[t] = b0 x[t] + b1 x[t-1] + b2 x[t-2] - a1 y[t-1] - a2 y[t-2], block by block.
+
+    Inside a block outputs are a matrix times the inputs plus a matrix times the two numbers that the block before left.
+    """
+    b0, b1, b2, a1, a2 = (v / a[0] for v in (*b, *a[1:]))
+    step = np.array([[-a1, 1.0], [-a2, 0.0]])  # how the state moves on without input
+    push = np.array([b1 - a1 * b0, b2 - a2 * b0])  # what an input adds to the next state
+    powers = [np.eye(2)]
+    for _ in range(BLOCK):
+        powers.append(step @ powers[-1])
+    impulse = np.array([b0, *((p @ push)[0] for p in powers[: BLOCK - 1])])
+    lag = np.arange(BLOCK)[None, :] - np.arange(BLOCK)[:, None]
+    inside = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)  # row: input, column: output
+    left = np.stack([powers[BLOCK - 1 - i] @ push for i in range(BLOCK)])
+    blocks = np.pad(x.astype(float), (0, -len(x) % BLOCK)).reshape(-1, BLOCK)
+    out, ends = blocks @ inside, blocks @ left
+    carried = np.stack([p[0] for p in powers[:BLOCK]], 1)
+    state = np.zeros(2)
+    for k in range(len(blocks)):
+        out[k] += state @ carried
+        state = powers[BLOCK] @ state + ends[k]
+    return out.reshape(-1)[: len(x)]
+
+
 def de_emphasis(df: DataFrame, key: str, at: str, value: str, a: float = 0.97) -> DataFrame:
     """The inverse recursion y[t] = x[t] + a y[t-1]; a signal goes to one task, in order."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(at)
-        y, out = 0.0, []
-        for x in pdf[value]:
-            y = x + a * y
-            out.append(y)
-        return pd.DataFrame({key: pdf[key], at: pdf[at], "restored": out})
+        return pd.DataFrame({key: pdf[key], at: pdf[at], "restored": recursion(pdf[value].to_numpy(float), (1.0, 0.0, 0.0), (1.0, -a, 0.0))})
 
     kinds = dict(df.dtypes)
     return df.select(key, at, value).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {at} {kinds[at]}, restored double")

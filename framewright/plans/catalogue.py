@@ -16,7 +16,7 @@ from ..operators import latents as la
 from ..operators import sequence as sq
 from ..operators import signal as sg
 from ..session import table
-from ..sources import codecs, container
+from ..sources import codecs, container, files, payloads
 from . import planner as pl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,8 @@ CHANNELS, SEED, SIGN_COLUMNS, LEVEL_BITS = 64, 42, 16, 3
 _LATENT = "SELECT vec_id, label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings"
 _IMAGE = f"SELECT vec_id, CAST(pos // 8 AS INT) AS y, CAST(pos % 8 AS INT) AS x, value FROM ({_LATENT})"
 _SIGNAL = "SELECT user_id, value, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events"
+#: The events of 16 users in a row, one after the other: long enough for frames and chunks of the usual sizes, bounded at any scale.
+_STATION = "SELECT user_id // 16 AS station, value, row_number() OVER (PARTITION BY user_id // 16 ORDER BY ts, event_id) - 1 AS idx FROM events"
 _GAPS = f"SELECT user_id, idx, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value FROM ({_SIGNAL})"
 
 
@@ -56,6 +58,15 @@ def _signal(spark, d) -> DataFrame:
     return sq.number(table(spark, d, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
+def _station(spark, d) -> DataFrame:
+    t = table(spark, d, "events").select(F.floor(F.col("user_id") / 16).alias("station"), "ts", "event_id", "value")
+    return sq.number(t, ["station"], ["ts", "event_id"]).select("station", "idx", "value")
+
+
+def _vectors(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+
+
 def _gaps(spark, d) -> DataFrame:
     return _signal(spark, d).select("user_id", "idx", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"))
 
@@ -156,18 +167,21 @@ def _(spark, d):
 
 _THRESHOLDS, _CENTRES = la.codebook(1 << LEVEL_BITS)
 _FACTOR = "((vec_id % 5 + 1) * 0.45)"
-_COUNT_SQL = " + ".join(f"CAST({t!r} < norm AS INT)" for t in _THRESHOLDS)
+#: Decision and output levels of the best 16-level quantiser of a normal variable (Max, 1960), the positive half.
+_MAX_LEVELS = [0.2582, 0.5224, 0.7996, 1.099, 1.437, 1.844, 2.401]
+_MAX_OUTPUTS = [0.1284, 0.3881, 0.6568, 0.9424, 1.256, 1.618, 2.069, 2.733]
+_COUNT_SQL = " + ".join(f"CAST({t!r} < norm AS INT)" for t in _MAX_LEVELS)
 
 
 @query(
     "norm_bucket_codebook",
-    f"SELECT vec_id, idx, round(CAST([{', '.join(map(repr, _CENTRES))}][idx + 1] AS DOUBLE), 6) AS centroid FROM (SELECT vec_id, {_COUNT_SQL} AS idx FROM "
+    f"SELECT vec_id, idx, round(CAST([{', '.join(map(repr, _MAX_OUTPUTS))}][idx + 1] AS DOUBLE), 2) AS centroid FROM (SELECT vec_id, {_COUNT_SQL} AS idx FROM "
     f"(SELECT vec_id, sqrt(sum(value * value)) * {_FACTOR} AS norm FROM ({_LATENT}) GROUP BY vec_id))",
 )
 def _(spark, d):
     norm = la.norm_of(F.col("embedding")) * F.expr(_FACTOR)
     t = table(spark, d, "embeddings").select("vec_id", la.bucket(norm, _THRESHOLDS).alias("idx"))
-    return t.select("vec_id", "idx", _r(la.centroid(F.col("idx"), _CENTRES)).alias("centroid"))
+    return t.select("vec_id", "idx", _r(la.centroid(F.col("idx"), _CENTRES), 2).alias("centroid"))
 
 
 @query(
@@ -187,8 +201,8 @@ def _matrix_sql(m) -> str:
 
 @query("rotate_roundtrip", f"SELECT vec_id, pos, round(value, 6) + 0.0 AS value FROM ({_LATENT})")
 def _(spark, d):
-    turned = la.rotate(_latent(spark, d), CHANNELS, SEED, ["vec_id"])
-    return la.rotate_back(turned, CHANNELS, SEED, ["vec_id"]).select("vec_id", "pos", _r("value").alias("value"))
+    back = la.rotate_back(la.rotate(F.col("v"), CHANNELS, SEED), CHANNELS, SEED)
+    return _vectors(spark, d).select("vec_id", F.posexplode(back).alias("pos", "value")).withColumn("value", _r("value"))
 
 
 _SIGNS = la.signs(CHANNELS, SIGN_COLUMNS, SEED)
@@ -196,7 +210,8 @@ _SIGNS = la.signs(CHANNELS, SIGN_COLUMNS, SEED)
 
 @query("sign_project", f"SELECT vec_id, out AS pos, CAST(sum(value * w) >= 0 AS INT) AS bit FROM ({_LATENT}) JOIN {_matrix_sql(_SIGNS)} USING (pos) GROUP BY vec_id, out")
 def _(spark, d):
-    return la.sign_project(_latent(spark, d), CHANNELS, SIGN_COLUMNS, SEED, ["vec_id"])
+    bits = la.sign_project(F.col("v"), CHANNELS, SIGN_COLUMNS, SEED)
+    return _vectors(spark, d).select("vec_id", F.posexplode(bits).alias("pos", "bit"))
 
 
 @query(
@@ -205,8 +220,9 @@ def _(spark, d):
     f"SELECT vec_id, pos, round(sum(bit * w) * 0.1 / {SIGN_COLUMNS}, 6) + 0.0 AS value FROM b JOIN m USING (out) GROUP BY vec_id, pos",
 )
 def _(spark, d):
-    bits = la.sign_project(_latent(spark, d), CHANNELS, SIGN_COLUMNS, SEED, ["vec_id"])
-    return la.sign_reconstruct(bits, CHANNELS, SIGN_COLUMNS, SEED, ["vec_id"]).select("vec_id", "pos", _r("value").alias("value"))
+    bits = la.sign_project(F.col("v"), CHANNELS, SIGN_COLUMNS, SEED)
+    back = la.sign_reconstruct(bits, CHANNELS, SIGN_COLUMNS, SEED)
+    return _vectors(spark, d).select("vec_id", F.posexplode(back).alias("pos", "value")).withColumn("value", _r("value"))
 
 
 @query("pack_sign_bits", f"SELECT vec_id, upper(string_agg(printf('%02x', b), '' ORDER BY k)) AS packed FROM (SELECT vec_id, pos // 8 AS k, CAST(sum(CASE WHEN value >= 0 THEN 1 << (7 - CAST(pos % 8 AS INT)) ELSE 0 END) AS INT) AS b FROM ({_LATENT}) GROUP BY vec_id, pos // 8) GROUP BY vec_id")
@@ -221,10 +237,23 @@ def _(spark, d):
     f"FROM (SELECT vec_id, pos, value, code * scale AS base FROM ({_quantised_sql(4)}))",
 )
 def _(spark, d):
-    x = _latent(spark, d)
-    base = _quantised(spark, d, 4).select("vec_id", "pos", F.col("restored").alias("value"))
-    r = la.residual(x, base, ["vec_id", "pos"])
-    return r.select("vec_id", "pos", _r("residual").alias("residual"), _r(s.clamp(F.col("base") + F.col("residual"), 0.0, 1.0)).alias("restored"))
+    q = _quantised(spark, d, 4).withColumn("residual", s.clamp(F.col("value") - F.col("restored"), -1.0, 1.0))
+    return q.select("vec_id", "pos", _r("residual").alias("residual"), _r(s.clamp(F.col("restored") + F.col("residual"), 0.0, 1.0)).alias("restored"))
+
+
+@query("aligned_residual", f"WITH s AS ({_SIGNAL}) SELECT a.user_id, a.idx, round(least(greatest(a.value - b.value, -1), 1), 6) + 0.0 AS residual FROM s a JOIN s b ON b.user_id = a.user_id + 1 AND b.idx = a.idx")
+def _(spark, d):
+    """Each user's signal against the next user's, as far as both go."""
+    t = _signal(spark, d).select("user_id", "idx", "value")
+    other = t.select((F.col("user_id") - 1).alias("user_id"), "idx", "value")
+    return la.residual(t, other, ["user_id", "idx"]).select("user_id", "idx", _r("residual").alias("residual"))
+
+
+@query("prefix_correction", f"WITH s AS ({_SIGNAL}) SELECT a.user_id, a.idx, round(least(greatest(a.value + coalesce(b.value / 100, 0), -1), 1), 6) + 0.0 AS value FROM s a LEFT JOIN s b ON b.user_id = a.user_id + 1 AND b.idx = a.idx AND b.idx < 10")
+def _(spark, d):
+    t = _signal(spark, d).select("user_id", "idx", "value")
+    other = t.filter("idx < 10").select((F.col("user_id") - 1).alias("user_id"), "idx", (F.col("value") / 100).alias("value"))
+    return la.add_to_prefix(t, other, ["user_id", "idx"]).select("user_id", "idx", _r("value").alias("value"))
 
 
 @query("residual_downsample", f"SELECT vec_id, CAST(y // 4 AS INT) AS y, CAST(x // 4 AS INT) AS x, round(avg(value), 6) + 0.0 AS value FROM ({_IMAGE}) WHERE y % 4 IN (1, 2) AND x % 4 IN (1, 2) GROUP BY vec_id, y // 4, x // 4")
@@ -239,7 +268,8 @@ def _(spark, d):
     f"FROM ({_IMAGE}) WINDOW r AS (PARTITION BY vec_id, y ORDER BY x), c AS (PARTITION BY vec_id, x ORDER BY y))",
 )
 def _(spark, d):
-    return la.sharpen(_image(spark, d), ["vec_id"]).select("vec_id", "y", "x", _r("value").alias("value"))
+    pixels = _vectors(spark, d).select("vec_id", F.posexplode(la.sharpen(F.col("v"), 8)).alias("pos", "value"))
+    return pixels.select("vec_id", F.floor(F.col("pos") / 8).cast("int").alias("y"), (F.col("pos") % 8).alias("x"), _r("value").alias("value"))
 
 
 def _tier_sql(pick: int) -> str:
@@ -318,7 +348,7 @@ def _(spark, d):
 
 @query("compression_ratio_report")
 def _(spark, d):
-    sized = codecs.compressed_size(table(spark, d, "documents"), "source", "text", keep=True)
+    sized = codecs.compressed_size(table(spark, d, "documents").select("source", "text"), "text")
     t = sized.groupBy("source").agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum("packed").alias("packed"))
     return t.withColumn("saved_pct", F.round(pl.ratio(F.col("bytes"), F.col("packed")), 2)).withColumn("of_target_pct", F.round(pl.share_of_target(F.col("packed"), pl.target_bytes(F.col("bytes"), F.lit(30))), 2))
 
@@ -379,19 +409,19 @@ def _(spark, d):
     return t.select("user_id", "chunk", "start", "length", _r(F.aggregate("values", F.lit(0.0), lambda a, v: a + v)).alias("total"))
 
 
-@query("block_running_offset", f"SELECT user_id, block, length, CAST(coalesce(sum(length) OVER (PARTITION BY user_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pts FROM (SELECT user_id, idx // 16 AS block, count(*) AS length FROM ({_SIGNAL}) GROUP BY user_id, idx // 16)")
+@query("block_running_offset", f"SELECT station, block, length, CAST(coalesce(sum(length) OVER (PARTITION BY station ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pts FROM (SELECT station, idx // 1024 AS block, count(*) AS length FROM ({_STATION}) GROUP BY station, idx // 1024)")
 def _(spark, d):
-    return sq.blocks(_signal(spark, d), ["user_id"], "idx", 16)
+    return sq.blocks(_station(spark, d), ["station"], "idx", 1024)
 
 
-@query("trim_reshape_128", f"SELECT user_id, idx // n AS channel, idx % n AS position, value FROM (SELECT *, count(*) OVER (PARTITION BY user_id) // 4 AS n FROM ({_SIGNAL})) WHERE idx < n * 4")
+@query("trim_reshape_128", f"SELECT station, idx // n AS channel, idx % n AS position, value FROM (SELECT *, count(*) OVER (PARTITION BY station) // 128 AS n FROM ({_STATION})) WHERE idx < n * 128")
 def _(spark, d):
-    return sq.reshape(_signal(spark, d), ["user_id"], "idx", 4).select("user_id", "channel", "position", "value")
+    return sq.reshape(_station(spark, d), ["station"], "idx", 128).select("station", "channel", "position", "value")
 
 
-@query("overlap_frames", f"WITH s AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM ({_SIGNAL})) SELECT user_id, f AS frame, idx - f * 4 AS \"offset\", value FROM (SELECT *, unnest(range(0, idx // 4 + 1)) AS f FROM s) WHERE idx - f * 4 < 8 AND f * 4 + 8 <= n")
+@query("overlap_frames", f"WITH s AS (SELECT *, count(*) OVER (PARTITION BY station) AS n FROM ({_STATION})) SELECT station, f AS frame, idx - f * 128 AS \"offset\", value FROM (SELECT *, unnest(range(0, idx // 128 + 1)) AS f FROM s) WHERE idx - f * 128 < 512 AND f * 128 + 512 <= n")
 def _(spark, d):
-    return sq.frames(_signal(spark, d), ["user_id"], "idx", 8, 4).select("user_id", "frame", "offset", "value")
+    return sq.frames(_station(spark, d), ["station"], "idx", 512, 128).select("station", "frame", "offset", "value")
 
 
 @query("pre_emphasis", f"SELECT user_id, idx, round(value - 0.97 * coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY idx), 0.0), 6) + 0.0 AS emphasised FROM ({_SIGNAL})")
@@ -399,6 +429,11 @@ def _(spark, d):
     return sq.pre_emphasis(_signal(spark, d), ["user_id"], "idx", "value").select("user_id", "idx", _r("emphasised").alias("emphasised"))
 
 
+@query("de_emphasis", f"SELECT user_id, idx, round(pow(0.97, idx) * sum(value * pow(0.97, -idx)) OVER (PARTITION BY user_id ORDER BY idx), 6) + 0.0 AS restored FROM ({_SIGNAL})")
+def _(spark, d):
+    return sq.de_emphasis(_signal(spark, d), "user_id", "idx", "value").select("user_id", "idx", _r("restored").alias("restored"))
+
+
 @query("rms_db", "SELECT event_type, round(sqrt(avg(value * value)), 6) AS rms, round(20 * log10(greatest(sqrt(avg(value * value)), 1e-8)), 6) AS rms_db, round(avg(abs(value)), 6) AS mean_abs FROM events GROUP BY event_type")
 def _(spark, d):
     return sg.levels(table(spark, d, "events"), ["event_type"], "value").select("event_type", *[_r(x).alias(x) for x in ("rms", "rms_db", "mean_abs")])
@@ -499,7 +534,7 @@ def _entries(spark, d):
 
 def _unpacked(spark, d, metadata_only: bool = False) -> DataFrame:
     """The entries, numbered over all volumes of their file (doc_ids without gaps give the numbers of the documents)."""
-    t = container.unpack(_entries(spark, d), metadata_only=metadata_only, path="file")
+    t = (container.metadata if metadata_only else container.unpack)(_entries(spark, d), path="file")
     volume = F.substring_index("file", "/", -1).cast("bigint")
     return t.withColumn("entry_idx", (volume * VOLUME + F.col("entry_idx")).cast("int")).withColumn("file", F.substring_index("file", "/", 1))
 
@@ -516,16 +551,267 @@ def _(spark, d):
     return meta.groupBy("file", "modality").agg(F.count("*").alias("n"), F.sum("payload_len").alias("bytes"))
 
 
-@query("spectrum_embedding")
+SIZE, HOP, RATE = 512, 256, 16000
+_TAPER = f"CASE WHEN least(o, {SIZE} - o) >= {SIZE // 8} THEN 1.0::DOUBLE ELSE 0.5 - 0.5 * cos(2 * pi() * least(o, {SIZE} - o) / {SIZE / 4}) END"
+
+
+def _power_sql(padded: bool, low: int, high: int) -> str:
+    """WITH parts that end in q(station, k, power): the mean spectrum in bins low to high, as sums of sines and cosines."""
+    pad = f"UNION ALL SELECT station, unnest(range(n, {SIZE})), 0.0 FROM (SELECT station, count(*) AS n FROM s GROUP BY station) WHERE n < {SIZE}" if padded else ""
+    return f"""s AS ({_STATION}), p AS (SELECT station, idx, value FROM s {pad}), c AS (SELECT station, count(*) AS n FROM p GROUP BY station),
+f AS (SELECT station, f, idx - f * {HOP} AS o, value FROM (SELECT *, unnest(range(0, idx // {HOP} + 1)) AS f FROM p) JOIN c USING (station) WHERE idx - f * {HOP} < {SIZE} AND f * {HOP} + {SIZE} <= n),
+d AS (SELECT station, f, o, (value - avg(value) OVER (PARTITION BY station, f)) * ({_TAPER}) AS x FROM f),
+w AS (SELECT sum({_TAPER}) AS total FROM (SELECT unnest(range({SIZE})) AS o)),
+b AS (SELECT station, f, k, sum(x * cos(2 * pi() * ((k * o) % {SIZE}) / {SIZE})) AS re, sum(x * sin(2 * pi() * ((k * o) % {SIZE}) / {SIZE})) AS im FROM d, (SELECT unnest(range({low}, {high + 1})) AS k) GROUP BY ALL),
+q AS (SELECT station, k, avg((re * re + im * im) * CASE WHEN k IN (0, {SIZE // 2}) THEN 1 ELSE 2 END) / any_value(total * total) AS power FROM b, w GROUP BY station, k)"""
+
+
+@query(
+    "spectrum_embedding",
+    f"""WITH {_power_sql(True, 0, SIZE // 2)},
+h AS (SELECT i, CAST(floor(700 * (pow(10, (lo + i * (hi - lo) / 21) / 2595) - 1) / {RATE / 2} * {SIZE // 2}) AS INT) AS a FROM (SELECT unnest(range(22)) AS i, 2595 * log10(1 + 80 / 700.0::DOUBLE) AS lo, 2595 * log10(1 + 7600 / 700.0::DOUBLE) AS hi)),
+t AS (SELECT x.i AS m, x.a AS a, y.a AS b, z.a AS c FROM h x JOIN h y ON y.i = x.i + 1 JOIN h z ON z.i = x.i + 2),
+e AS (SELECT station, m, ln(greatest(sum(power * CASE WHEN k >= a AND k < b THEN (k - a) / (b - a)::DOUBLE WHEN k >= b AND k < c THEN (c - k) / (c - b)::DOUBLE ELSE 0 END), 1e-10)) AS v FROM q, t GROUP BY station, m),
+g AS (SELECT station, j, sqrt(CASE WHEN j = 0 THEN 1 ELSE 2 END / 20.0) * sum(v * cos(pi() * j * (2 * m + 1) / 40)) AS v FROM e, (SELECT unnest(range(20)) AS j) GROUP BY station, j)
+SELECT station, CAST(j AS INT) AS coefficient, round(v / sqrt(sum(v * v) OVER (PARTITION BY station)), 6) + 0.0 AS value FROM g""",
+)
+def _(spark, d):
+    """The speaker embedding of each station; what is shorter than a frame counts as one frame that zeros fill up."""
+    t = sq.pad_short(_station(spark, d), "station", "idx", "value", SIZE)
+    found = sg.embedding(sg.spectrum(t, "station", "idx", "value", RATE, SIZE, HOP), "station", RATE, SIZE)
+    return found.select("station", F.posexplode("embedding").alias("coefficient", "value")).withColumn("value", _r("value"))
+
+
+@query(
+    "speaking_stats",
+    f"""WITH {_power_sql(False, 3, 16)}, t AS (SELECT conv_id AS station, len(list_filter(regexp_split_to_array(trim(max(text)), '\\s+'), lambda w: w <> '')) AS n FROM conversations GROUP BY conv_id),
+l AS (SELECT station, sqrt(avg(value * value)) AS rms, count(*) / {RATE}.0::DOUBLE AS seconds FROM s GROUP BY station), f0 AS (SELECT station, arg_max(k, power) * {RATE / SIZE} AS f0 FROM q GROUP BY station)
+SELECT station, round(least(greatest(n / seconds * 60, 50.0), 350.0), 6) AS wpm, CAST(coalesce(f0, 0.0) AS DOUBLE) AS f0, round(20 * log10(greatest(rms, 1e-8)), 6) AS rms_db FROM l JOIN t USING (station) LEFT JOIN f0 USING (station)""",
+)
 def _(spark, d):
-    """One row for each user; what is shorter than a frame counts as one frame that zeros fill up."""
-    t = sq.pad_short(_signal(spark, d), "user_id", "idx", "value", 64)
-    return sg.embedding(sg.spectrum(t, "user_id", "idx", "value", 16000, 64, 32), "user_id", 16000, 64)
+    texts = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("station")).agg(F.max("text").alias("text"))
+    got = sg.speaking_stats(_station(spark, d), texts, "station", "idx", "value", RATE, SIZE, HOP)
+    return got.select("station", _r("wpm").alias("wpm"), "f0", _r("rms_db").alias("rms_db"))
 
 
-@query("codec_roundtrip")
+def _coded_sql(bits: int) -> str:
+    """(vec_id, v, w): values and what rounding to a vector's codes leaves of them, in single precision as the codec has it."""
+    top = 2 ** (bits - 1) - 1
+    x = "SELECT vec_id, CAST(unnest(embedding) AS FLOAT) AS v FROM embeddings"
+    scale = f"SELECT vec_id, CAST(greatest(CAST(max(abs(v)) AS DOUBLE), 1e-8) / {top} AS FLOAT) AS sc FROM ({x}) GROUP BY vec_id"
+    return f"SELECT vec_id, CAST(v AS DOUBLE) AS v, CAST(CAST(least(greatest(round_even(CAST(v / sc AS FLOAT), 0), -{top + 1}), {top}) AS FLOAT) * sc AS DOUBLE) AS w FROM ({x}) JOIN ({scale}) USING (vec_id)"
+
+
+@query("codec_roundtrip", f"SELECT vec_id, round({_PSNR_SQL.format(a='v', b='w')}, 3) AS psnr FROM ({_coded_sql(8)}) GROUP BY vec_id")
 def _(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    back = codecs.decode(codecs.encode(e, "vec_id", "embedding"), "vec_id")
-    pair = e.join(back, "vec_id").select("vec_id", F.zip_with("embedding", "vector", lambda a, b: (a - b) * (a - b)).alias("d"))
+    pair = codecs.decode(codecs.encode(e, "embedding")).select("vec_id", F.zip_with("embedding", "vector", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)).alias("d"))
     return pair.select("vec_id", F.round(la.psnr(F.aggregate("d", F.lit(0.0), lambda a, v: a + v) / F.size("d")), 3).alias("psnr"))
+
+
+_LIMITED = lambda c: f"least(greatest({c}, 0.0), 1.0)"
+
+
+@query(
+    "psnr_report",
+    f"""WITH p AS (SELECT vec_id, round({_PSNR_SQL.format(a=_LIMITED('v'), b=_LIMITED('w'))}, 4) AS psnr FROM ({_coded_sql(4)}) GROUP BY vec_id),
+r AS (SELECT 'img-' || (vec_id // 64) AS file, CAST(vec_id % 64 AS INT) AS entry_idx, vec_id || '.png' AS name, CASE WHEN vec_id % 7 <> 0 AND vec_id % 5 <> 0 THEN psnr END AS psnr FROM p)
+SELECT *, CASE WHEN psnr > 30 THEN 'Great.' WHEN psnr < 20 THEN 'TurboQuantizing is too aggressive.' WHEN psnr IS NOT NULL THEN 'Acceptable.' END AS verdict FROM r""",
+)
+def _(spark, d):
+    """Images packed into containers, unpacked, matched with their originals by base name, compared and judged.
+
+    Every seventh entry is a sound and every fifth original is missing: these have no PSNR.
+    """
+    images = table(spark, d, "embeddings").select("vec_id", "embedding", F.concat(F.lit("set/"), F.col("vec_id").cast("string"), F.lit(".png")).alias("path"))
+    coded = codecs.encode(images, "embedding", make=lambda: codecs.RoundedZstd(4))
+    entries = coded.select(
+        F.concat(F.lit("img-"), F.floor(F.col("vec_id") / 64).cast("string")).alias("file"),
+        F.pmod("vec_id", F.lit(64)).cast("int").alias("entry_idx"),
+        F.when(F.col("vec_id") % 7 == 0, container.AUDIO).otherwise(container.IMAGE).alias("modality"),
+        F.col("path").alias("name"), F.lit(8).alias("width"), F.lit(8).alias("height"), "payload",
+    )
+    back = container.unpack(container.pack(entries), path="file").withColumn("name", s.basename(F.col("name")))
+    originals = images.filter("vec_id % 5 <> 0").select(F.concat(F.lit("originals/"), F.col("path")).alias("path"), F.col("embedding").alias("pixels"))
+    matched = pl.match_originals(back.select("file", "entry_idx", "modality", "name", "payload"), originals)
+    matched = matched.join(originals.withColumnRenamed("path", "original"), "original", "left")
+    judged = pl.psnr_report(codecs.decode(matched, make=lambda: codecs.RoundedZstd(4)), "pixels", "vector", F.col("modality") == container.IMAGE)
+    return judged.withColumn("psnr", F.round("psnr", 4)).select("file", "entry_idx", "name", "psnr", "verdict")
+
+
+@query(
+    "polar_payload_roundtrip",
+    f"""WITH x AS (SELECT vec_id, vec_id // 16 AS g, pos, CAST(CAST(value AS FLOAT) AS DOUBLE) AS v FROM ({_LATENT})),
+a AS (SELECT g, pos, greatest(max(abs(v)), 1e-8) / 127 AS sc FROM x WHERE pos < {la.ANCHORS} GROUP BY g, pos),
+n AS (SELECT vec_id, sqrt(sum(v * v)) AS norm FROM x WHERE pos >= {la.ANCHORS} GROUP BY vec_id)
+SELECT vec_id, pos, round(CAST(CAST(CAST(least(greatest(round_even(v / sc, 0), -127), 127) AS FLOAT) * CAST(sc AS FLOAT) AS FLOAT) AS DOUBLE), 6) + 0.0 AS value FROM x JOIN a USING (g, pos)
+UNION ALL SELECT vec_id, pos, round(CAST(CAST(least(greatest(round_even(v / (norm + 1e-8) * 4, 0), -4), 3) / 4.0::DOUBLE * CAST([{', '.join(map(repr, _CENTRES))}][{_COUNT_SQL} + 1] AS DOUBLE) AS FLOAT) AS DOUBLE), 6) + 0.0 FROM x JOIN n USING (vec_id) WHERE pos >= {la.ANCHORS}""",
+)
+def _(spark, d):
+    """Sixteen latents to a payload and back."""
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("g"), "vec_id", "embedding")
+    back = payloads.decode_polar(payloads.encode_polar(e, "g", "vec_id", "embedding"), "g")
+    numbered = e.select("g", "vec_id", (F.row_number().over(pl.W.partitionBy("g").orderBy("vec_id")) - 1).alias("row"))
+    return back.join(numbered, ["g", "row"]).select("vec_id", F.posexplode("vector").alias("pos", "value")).withColumn("value", _r(F.col("value").cast("double")))
+
+
+@query("semantic_payloads", "SELECT conv_id, turn, text AS transcript, CAST(turn AS DOUBLE) AS duration_s, 150.0::DOUBLE AS speaking_rate_wpm, CAST(conv_id % 500 AS DOUBLE) AS f0_mean_hz FROM conversations WHERE text IS NOT NULL AND strlen(text) < 65536")
+def _(spark, d):
+    t = table(spark, d, "conversations").filter("text is not null and octet_length(text) < 65536")
+    packed = payloads.encode_semantic(t.select("conv_id", "turn", F.col("text").alias("transcript"), F.col("turn").cast("double").alias("duration_s"), (F.col("conv_id") % 500).cast("double").alias("f0_mean_hz")), ["conv_id", "turn"])
+    return payloads.inspect_semantic(packed, ["conv_id", "turn"]).select("conv_id", "turn", "transcript", "duration_s", "speaking_rate_wpm", "f0_mean_hz")
+
+
+@query("image_pad_crop", f"""SELECT vec_id, CAST(yy * 10 + xx AS INT) AS pos, round(v[(CASE WHEN yy < 8 THEN yy ELSE 14 - yy END) * 8 + (CASE WHEN xx < 8 THEN xx ELSE 14 - xx END) + 1], 6) + 0.0 AS value
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, unnest(range(90)) // 10 AS yy, unnest(range(90)) % 10 AS xx FROM embeddings)""")
+def _(spark, d):
+    """8 x 8 images padded by reflection to 12 x 12 and cropped to 10 x 9."""
+    padded = _vectors(spark, d).select("vec_id", s.reflect_pad(F.col("v"), 8, 8, 12, 12).alias("v"))
+    return padded.select("vec_id", F.posexplode(s.crop(F.col("v"), 12, 10, 9)).alias("pos", "value")).withColumn("value", _r("value"))
+
+
+@query("sample_formats", f"SELECT vec_id, pos, CAST(floor(least(greatest(value, 0), 1) * 255) AS INT) AS u8, CAST(trunc(least(greatest(value, -1), 1) * 32767) AS INT) AS i16, round(trunc(least(greatest(value, -1), 1) * 32767) / 32767, 6) + 0.0 AS back, CAST(floor((least(greatest(value, -1), 1) + 1) * 127.5) AS INT) AS residual, round((floor((least(greatest(value, -1), 1) + 1) * 127.5) / 127.5 - 1) * 0.5, 6) + 0.0 AS half FROM ({_LATENT})")
+def _(spark, d):
+    v = F.col("value")
+    return _latent(spark, d).select("vec_id", "pos", s.to_u8(v).alias("u8"), s.to_i16(v).cast("int").alias("i16"), _r(s.from_i16(s.to_i16(v).cast("int"))).alias("back"), la.residual_bytes(v).alias("residual"), _r(la.residual_value(la.residual_bytes(v), 0.5)).alias("half"))
+
+
+@query(
+    "residual_upsample",
+    f"""WITH s AS (SELECT vec_id, y // 4 AS y, x // 4 AS x, avg(value) AS v FROM ({_IMAGE}) WHERE y % 4 IN (1, 2) AND x % 4 IN (1, 2) GROUP BY ALL),
+g AS (SELECT a AS t, floor(greatest(0, (a + 0.5) / 4 - 0.5)) AS lo, greatest(0, (a + 0.5) / 4 - 0.5) - floor(greatest(0, (a + 0.5) / 4 - 0.5)) AS w FROM (SELECT unnest(range(8)) AS a)),
+h AS (SELECT t, CAST(lo AS BIGINT) AS i, 1 - w AS w FROM g UNION ALL SELECT t, CAST(least(lo + 1, 1) AS BIGINT), w FROM g)
+SELECT vec_id, CAST(gy.t AS INT) AS y, CAST(gx.t AS INT) AS x, round(sum(v * gy.w * gx.w), 6) + 0.0 AS value FROM s JOIN h gy ON gy.i = s.y JOIN h gx ON gx.i = s.x GROUP BY vec_id, gy.t, gx.t""",
+)
+def _(spark, d):
+    small = la.downsample(_image(spark, d), 4, ["vec_id"])
+    return la.upsample(small, 4, 8, 8, ["vec_id"]).select("vec_id", "y", "x", _r("value").alias("value"))
+
+
+@query("texture_grain", "SELECT vec_id, pos, round(0.012 * sqrt(-2 * ln((CAST('0x' || substr(h, 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296)) * cos(2 * pi() * ((CAST('0x' || substr(h, 9, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296)), 6) + 0.0 AS grain FROM (SELECT vec_id, pos, md5(vec_id || '/' || pos) AS h FROM (SELECT vec_id, unnest(range(8)) AS pos FROM embeddings))")
+def _(spark, d):
+    t = table(spark, d, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("pos"))
+    return t.select("vec_id", "pos", _r(la.grain(F.col("vec_id").cast("string"), F.col("pos"))).alias("grain"))
+
+
+@query("frame_blend", f"SELECT user_id, idx, CASE WHEN lag(value) OVER w IS NOT NULL AND lead(value) OVER w IS NOT NULL THEN round(least(greatest(0.75 * lag(value) OVER w + 0.25 * lead(value) OVER w, 0.0), 1.0), 6) + 0.0 END AS blended FROM ({_SIGNAL}) WINDOW w AS (PARTITION BY user_id ORDER BY idx)")
+def _(spark, d):
+    w = pl.W.partitionBy("user_id").orderBy("idx")
+    t = _signal(spark, d).withColumn("p", F.lag("value").over(w)).withColumn("n", F.lead("value").over(w))
+    both = F.col("p").isNotNull() & F.col("n").isNotNull()
+    return t.select("user_id", "idx", F.when(both, _r(sq.blend(F.col("p"), F.col("n"), F.lit(0.25)))).alias("blended"))
+
+
+@query("mono_mix", f"SELECT user_id // 16 AS station, idx, round(avg(value), 6) + 0.0 AS value FROM ({_SIGNAL}) GROUP BY ALL")
+def _(spark, d):
+    t = _signal(spark, d).select(F.floor(F.col("user_id") / 16).alias("station"), "idx", "value")
+    return sg.mono(t, ["station", "idx"], "value").withColumn("value", _r("value"))
+
+
+@query("frame_seeds_and_tiles", f"SELECT user_id, idx, xor(CAST(42 AS BIGINT), idx) AS seed, (idx // 5) * 128 + user_id % 128 AS row, (idx % 5) * 128 + idx % 128 AS col FROM ({_SIGNAL})")
+def _(spark, d):
+    t = _signal(spark, d).select("user_id", "idx", F.floor(F.col("idx") / 5).alias("ty"), (F.col("idx") % 5).alias("tx"), (F.col("user_id") % 128).alias("y"), (F.col("idx") % 128).alias("x"))
+    return sq.tiles(t, 128).select("user_id", "idx", sq.frame_seed(42, F.col("idx")).alias("seed"), "row", "col")
+
+
+@query("stream_probe", "SELECT page_id, page_id % 3 = 0 AS has_audio, page_id % 4 <> 1 AND page_id % 3 <> 0 AS has_video FROM pages")
+def _(spark, d):
+    kinds = lambda *names: F.array(*[F.struct(F.lit(n).alias("type")) for n in names])
+    streams = F.when(F.col("page_id") % 3 == 0, kinds("subtitle", "audio")).when(F.col("page_id") % 4 != 1, kinds("video"))
+    return table(spark, d, "pages").withColumn("streams", streams).select("page_id", files.has_stream(F.col("streams")).alias("has_audio"), files.has_stream(F.col("streams"), "video").alias("has_video"))
+
+
+@query(
+    "part_rules",
+    "SELECT p_partkey, p_size % 9 = 0 OR coalesce(psnr < 35, false) AS residual, CASE p_size * 8 WHEN 128 THEN 1 WHEN 192 THEN 3 WHEN 320 THEN 5 ELSE 1 END AS quality, CASE WHEN p_size * 8 > 192 THEN 0.0::DOUBLE ELSE 0.3::DOUBLE END AS sharpen, "
+    "'img_mbt2018_q' || (p_size % 8 + 1) AS expert FROM (SELECT *, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_size AS DOUBLE) END AS psnr FROM part)",
+)
+def _(spark, d):
+    """Whether a residual is needed, and what follows from a latent's channels."""
+    channels = F.col("p_size") * 8
+    got = F.when(F.col("p_partkey") % 4 != 0, F.col("p_size").cast("double"))
+    return table(spark, d, "part").select(
+        "p_partkey", pl.needs_residual(F.col("p_size") % 9 == 0, got, F.lit(35.0)).alias("residual"), s.quality_for_channels(channels).alias("quality"),
+        la.adaptive_strength(channels).cast("double").alias("sharpen"), pl.expert_id(F.lit("compressai"), F.col("p_size") % 8 + 1).alias("expert"),
+    )
+
+
+_BASE = "regexp_extract(path, '[^/]*$', 0)"
+
+
+@query("match_by_name", f"SELECT page_id, {_BASE} AS name, CASE WHEN page_id % 9 IN (0, 2, 4, 6) THEN 'originals/' || {_BASE} END AS original FROM ({_FILE})")
+def _(spark, d):
+    found = _files(spark, d).withColumn("name", s.basename(F.col("path")))
+    originals = found.filter("page_id % 9 in (0, 2, 4, 6)").select(F.concat(F.lit("originals/"), F.col("name")).alias("path"))
+    return pl.match_originals(found.select("page_id", "name"), originals).select("page_id", "name", "original")
+
+
+@query("match_by_position", "SELECT conv_id, turn, text, CASE WHEN turn % 3 <> 2 THEN upper(role) END AS original FROM conversations")
+def _(spark, d):
+    t = table(spark, d, "conversations")
+    listed = t.filter("turn % 3 <> 2").select("conv_id", "turn", F.upper("role").alias("original"))
+    return pl.by_position(t.select("conv_id", "turn", "text"), listed, ["conv_id"], "turn").select("conv_id", "turn", "text", "original")
+
+
+@query("match_by_extension", f"WITH f AS (SELECT page_id, path, {_EXT} AS ext FROM ({_FILE})), r AS (SELECT ext, min('r/' || page_id || ext) AS recovered FROM f WHERE page_id % 2 = 0 GROUP BY ext) SELECT page_id, f.path, recovered FROM f JOIN r USING (ext)")
+def _(spark, d):
+    f = _files(spark, d)
+    recovered = f.filter("page_id % 2 = 0").select(F.concat(F.lit("r/"), F.col("page_id").cast("string"), s.extension(F.col("path"))).alias("path"))
+    return pl.first_by_extension(f, recovered).select("page_id", "path", "recovered")
+
+
+@query("model_listing", "SELECT 'm' || n_nationkey AS id, n_nationkey % 2 = 0 AND n_regionkey < 3 AS cached FROM nation")
+def _(spark, d):
+    n = table(spark, d, "nation")
+    models = n.select(F.concat(F.lit("m"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("cache/"), F.col("n_nationkey").cast("string")).alias("local_path"))
+    there = n.filter("n_nationkey % 2 = 0 and n_regionkey < 3").select(F.concat(F.lit("cache/"), F.col("n_nationkey").cast("string")).alias("path"))
+    return pl.listed(models, there).select("id", "cached")
+
+
+@query(
+    "pack_report",
+    "SELECT source, format('{:,}', packed) || ' bytes, ' || printf('%.1f', (1 - packed / bytes::DOUBLE) * 100) || '% smaller' AS saved, 'Target: ' || format('{:,}', target) || ' bytes / Actual: ' || format('{:,}', packed) || ' bytes (' || printf('%.1f', packed / target::DOUBLE * 100) || '% of target)' AS target "
+    "FROM (SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(strlen(text) // 3) AS BIGINT) AS packed, CAST(trunc(sum(strlen(text)) * 30.0::DOUBLE / 100) AS BIGINT) AS target FROM documents GROUP BY source)",
+)
+def _(spark, d):
+    n = F.octet_length("text").cast("bigint")
+    t = table(spark, d, "documents").groupBy("source").agg(F.sum(n).alias("bytes"), F.sum(F.expr("bigint(octet_length(text)) div 3")).alias("packed"))
+    wanted = pl.target_bytes(F.col("bytes"), F.lit(30.0))
+    return t.select("source", pl.saved_line(F.col("bytes"), F.col("packed")).alias("saved"), pl.target_line(wanted, F.col("packed")).alias("target"))
+
+
+@query("fidelity_report", "SELECT doc_id, substr(sha256(text), 1, 12) AS hash_a, substr(sha256(trim(text)), 1, 12) AS hash_b, CASE WHEN sha256(text) = sha256(trim(text)) THEN 'EXACT MATCH' ELSE 'LOSSY (AI-reconstructed)' END AS outcome FROM documents WHERE doc_id % 100 >= 90")
+def _(spark, d):
+    """Hashes are compared for what the tier packs without loss."""
+    t = table(spark, d, "documents").select("doc_id", "text", F.trim("text").alias("other"))
+    lossless = pl.tier_params((F.col("doc_id") % 100).cast("double"))["lossless"]
+    return pl.fidelity_report(t, "text", "other", lossless).select("doc_id", "hash_a", "hash_b", "outcome")
+
+
+@query(
+    "rates_and_silence",
+    "SELECT p_partkey, CAST(24000 // gcd(rate, 24000) AS BIGINT) AS up, CAST(rate // gcd(rate, 24000) AS BIGINT) AS down, CAST(floor(p_size / 10.0::DOUBLE * rate) AS INT) AS zeros FROM (SELECT p_partkey, p_size, CAST([8000, 11025, 16000, 22050, 44100, 48000][p_partkey % 6 + 1] AS BIGINT) AS rate FROM part)",
+)
+def _(spark, d):
+    rate = F.get(F.array(*[F.lit(x) for x in (8000, 11025, 16000, 22050, 44100, 48000)]), (F.col("p_partkey") % 6).cast("int"))
+    r = s.rate_ratio(rate, F.lit(24000))
+    quiet = s.silence(F.col("p_size") / 10.0, rate)
+    return table(spark, d, "part").select("p_partkey", r["up"].alias("up"), r["down"].alias("down"), F.size(quiet).alias("zeros"))
+
+
+@query("sorted_map_keys", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'motion,residual,shape' ELSE 'anchor,zero' END AS keys FROM nation")
+def _(spark, d):
+    pairs = lambda *names: F.create_map(*[F.lit(x) for n in names for x in (n, len(n))])
+    m = F.when(F.col("n_nationkey") % 2 == 0, pairs("shape", "motion", "residual")).otherwise(pairs("zero", "anchor"))
+    return table(spark, d, "nation").select("n_nationkey", F.array_join(F.map_keys(s.sorted_map(m)), ",").alias("keys"))
+
+
+@query("container_check", "SELECT n_nationkey, n_nationkey % 3 = 0 AND n_nationkey % 10 BETWEEN 1 AND 8 AS good FROM nation")
+def _(spark, d):
+    head = F.concat(F.when(F.col("n_nationkey") % 3 == 0, F.lit(container.MAGIC.hex())).otherwise(F.lit(b"NOPE".hex())), s.le_hex(F.col("n_nationkey") % 10, 1), F.lit("0000"))
+    return table(spark, d, "nation").select("n_nationkey", s.is_container(F.unhex(head)).alias("good"))
+
+
+@query("even_spacing", "SELECT n_nationkey, i, round(-1.0 + i * 0.25, 6) + 0.0 AS v FROM (SELECT n_nationkey, unnest(range(9)) AS i FROM nation)")
+def _(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", F.posexplode(s.linspace(-1.0, 1.0, 9)).alias("i", "v")).withColumn("v", _r("v"))

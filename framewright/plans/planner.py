@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import AUDIO_EXTS, basename, extension, is_music, is_speech, modality, sha12
+from ..functions.scalars import AUDIO_EXTS, basename, clamp, extension, is_music, is_speech, modality, sha12, thousands
+from ..operators.latents import psnr, verdict
 
 #: Lower end (percent) of each tier, quality, norm bits, direction bits, residual, downsampling, kbps, lossless.
 TIERS = [
@@ -119,6 +120,20 @@ def match_originals(entries: DataFrame, originals: DataFrame) -> DataFrame:
     return entries.join(one, "name", "left")
 
 
+def by_position(entries: DataFrame, originals: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Entries with the original of the same position in a list, or null beyond its end; all entries stay."""
+    return entries.join(originals.select(*keys, at, "original"), [*keys, at], "left")
+
+
+def psnr_report(entries: DataFrame, original: str, restored: str, is_image: Column) -> DataFrame:
+    """entries with psnr and verdict: images are compared value by value, both limited to 0..1; others, and those without an
+    original, have neither."""
+    d = F.zip_with(F.col(original), F.col(restored), lambda a, b: clamp(a.cast("double"), 0.0, 1.0) - clamp(b.cast("double"), 0.0, 1.0))
+    mse = F.aggregate(d, F.lit(0.0), lambda a, v: a + v * v) / F.size(original)
+    out = entries.withColumn("psnr", F.when(is_image & F.col(original).isNotNull(), psnr(mse)))
+    return out.withColumn("verdict", verdict(F.col("psnr")))
+
+
 def first_by_extension(originals: DataFrame, recovered: DataFrame) -> DataFrame:
     """Each original with the first recovered file (by path) of its extension; none: no row."""
     first = recovered.groupBy(extension(F.col("path")).alias("ext")).agg(F.min("path").alias("recovered"))
@@ -130,5 +145,20 @@ def fidelity(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("hash_a", sha12(F.col(a))).withColumn("hash_b", sha12(F.col(b))).withColumn("exact", F.col("hash_a") == F.col("hash_b"))
 
 
+def fidelity_report(pairs: DataFrame, a: str, b: str, lossless: Column) -> DataFrame:
+    """fidelity() of the rows that were packed without loss, with the outcome in words; other rows have no fidelity step."""
+    rows = fidelity(pairs.filter(lossless), a, b)
+    return rows.withColumn("outcome", F.when(F.col("exact"), "EXACT MATCH").otherwise("LOSSY (AI-reconstructed)"))
+
+
+def saved_line(before: Column, after: Column) -> Column:
+    """What is printed about a container: its bytes and how much smaller it is."""
+    return F.format_string("%s bytes, %.1f%% smaller", thousands(after), ratio(before, after).cast("double"))
+
+
+def target_line(target: Column, actual: Column) -> Column:
+    return F.format_string("Target: %s bytes / Actual: %s bytes (%.1f%% of target)", thousands(target), thousands(actual), share_of_target(actual, target).cast("double"))
+
+
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_i = 1").drop("_i")

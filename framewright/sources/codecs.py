@@ -11,6 +11,7 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BinaryType, DataType, FloatType, LongType, StructType
 
 
 class Codec(Protocol):
@@ -43,27 +44,36 @@ class RoundedZstd:
         return [np.frombuffer(z.decompress(p[5:]), np.int8).astype(np.float32) * struct.unpack_from("<f", p, 1)[0] for p in payloads]
 
 
-def _apply(df: DataFrame, key: str, column: str, out: str, kind: str, arrow: pa.DataType, work, keep: list[str] = []) -> DataFrame:
+def _apply(df: DataFrame, column: str, out: str, kind: DataType, arrow: pa.DataType, work) -> DataFrame:
+    """`df` with the column `out` beside all others: nothing is joined, so repeated and null keys are as good as any."""
+    names = [x for x in df.columns if x.lower() != out.lower()]
+    schema = StructType([*(df.schema[x] for x in names)]).add(out, kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = work()
         for batch in batches:
-            yield pa.record_batch([*map(batch.column, [key, *keep]), pa.array(f(batch.column(column)), arrow)], names=[key, *keep, out])
+            yield pa.record_batch([*map(batch.column, names), pa.array(f(batch.column(column)), arrow)], names=[*names, out])
+
+    return df.select(*names).mapInArrow(run, schema)
 
-    return df.select(key, column).mapInArrow(run, ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in [key, *keep]) + f", {out} {kind}")
 
+def encode(df: DataFrame, array: str, make=RoundedZstd) -> DataFrame:
+    """`df` with payload."""
+    return _apply(df, array, "payload", BinaryType(), pa.binary(), lambda: (lambda c: lambda x: c.encode([np.array(v, np.float32) for v in x.to_pylist()]))(make()))
 
-def encode(df: DataFrame, key: str, array: str, make=RoundedZstd) -> DataFrame:
-    """(key, payload)."""
-    return _apply(df, key, array, "payload", "binary", pa.binary(), lambda: (lambda c: lambda x: c.encode([np.array(v, np.float32) for v in x.to_pylist()]))(make()))
 
+def decode(df: DataFrame, make=RoundedZstd, payload: str = "payload") -> DataFrame:
+    """`df` with vector, decoded from its payload; a null payload gives a null vector."""
+
+    def work():
+        c = make()
+        return lambda x: [None if p is None else c.decode([p])[0].tolist() for p in x.to_pylist()]
 
-def decode(df: DataFrame, key: str, make=RoundedZstd) -> DataFrame:
-    """(key, vector)."""
-    return _apply(df, key, "payload", "vector", "array<float>", pa.list_(pa.float32()), lambda: (lambda c: lambda x: [v.tolist() for v in c.decode(x.to_pylist())])(make()))
+    return _apply(df, payload, "vector", ArrayType(FloatType()), pa.list_(pa.float32()), work)
 
 
-def compressed_size(df: DataFrame, key: str, column: str, level: int = 19, keep: bool = False) -> DataFrame:
-    """(key, packed): bytes of a text or binary column after zstd; with keep=True beside the column itself."""
+def compressed_size(df: DataFrame, column: str, level: int = 19) -> DataFrame:
+    """`df` with packed: bytes of a text or binary column after zstd."""
 
     def work():
         import zstandard
@@ -71,4 +81,4 @@ def compressed_size(df: DataFrame, key: str, column: str, level: int = 19, keep:
         z = zstandard.ZstdCompressor(level=level)
         return lambda x: [None if v is None else len(z.compress(v.encode() if isinstance(v, str) else v)) for v in x.to_pylist()]
 
-    return _apply(df, key, column, "packed", "bigint", pa.int64(), work, keep=[column] if keep else [])
+    return _apply(df, column, "packed", LongType(), pa.int64(), work)

@@ -1,19 +1,23 @@
 """The multi-modality container: binary files to entry rows and back.
 
-Files are read by Spark's binaryFile source (any store, one file to a task) and unpacked in Arrow batches; with
-metadata_only payloads are stepped over. Writing packs entries in their order; a container is one value, so the entries of
-one container come together in one task. Names are reduced to their last part, so none leads out of a folder.
+Files are read by Spark's binaryFile source (any store, one file to a task) and unpacked in Arrow batches. A metadata scan is
+an expression that steps from entry to entry, so no payload is copied or leaves the JVM. Writing packs entries in their order; a
+container is one value, so the entries of one container come together in one task. Names are reduced to their last part, so
+none leads out of a folder.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import from_le_hex, let
+
 #: Fixed values of the format: mark, newest version, modalities. All numbers are little-endian.
 MAGIC, VERSION = b"TINY", 8
 IMAGE, AUDIO, VIDEO, AV, SEMANTIC = range(5)
@@ -120,7 +124,7 @@ def pack_entry(row: dict) -> bytes:
     return out + struct.pack("<HHBB", n("width"), n("height"), n("codec_id"), n("quality")) + sized(payload) + sized(aux)
 
 
-def unpack(files: DataFrame, *, metadata_only: bool = False, path: str = "path", content: str = "content") -> DataFrame:
+def unpack(files: DataFrame, *, path: str = "path", content: str = "content") -> DataFrame:
     """Rows (path, content) to one row for each entry. A file that isn't a container, or is cut off, is an error."""
     kinds = {f.name: f.dataType for f in files.sparkSession.createDataFrame([], SCHEMA).schema}
     schema = pa.schema([(n, pa.string() if n in ("file", "name") else pa.binary() if "binary" in str(t).lower() else pa.float32() if "float" in str(t).lower() else pa.int64() if "long" in str(t).lower() else pa.int32()) for n, t in kinds.items()])
@@ -128,16 +132,68 @@ def unpack(files: DataFrame, *, metadata_only: bool = False, path: str = "path",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = [{**dict.fromkeys(COLUMNS), "file": file, **e} for e in entries(data.as_py(), not metadata_only)]
+                rows = [{**dict.fromkeys(COLUMNS), "file": file, **e} for e in entries(data.as_py())]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     return files.select(path, content).mapInArrow(run, SCHEMA)
 
 
+def metadata(files: DataFrame, *, path: str = "path", content: str = "content") -> DataFrame:
+    """(file, entry_idx, version, modality, name, payload_len, aux_payload_len, payload_offset) of all entries, without their payloads.
+
+    Only the entries' heads are looked at, a few bytes each, by expressions. Errors are those of unpack().
+    """
+    data = F.col(content)
+    number = lambda at, size: F.coalesce(from_le_hex(F.hex(F.substring(data, at + 1, size))), F.lit(0).cast("bigint"))
+    n = F.lit(0).cast("bigint")
+    state = F.struct(F.lit(7).cast("int").alias("at"), F.array().cast("array<struct<modality:int,name:string,payload_len:bigint,aux_payload_len:bigint,payload_offset:bigint>>").alias("found"))
+    version = number(F.lit(4), 1).cast("int")
+
+    def step(s: Column, _: Column) -> Column:
+        kind = F.when(version >= 3, number(s["at"], 1).cast("int")).otherwise(F.lit(IMAGE))
+        start = s["at"] + F.when(version >= 3, 1).otherwise(0)
+
+        def named(h: Column) -> Column:
+            kind, at, size = h["kind"], h["at"], h["size"]
+            old = F.lit(24) + F.when(version >= 7, 1).otherwise(0)  # sizes, shape, scale, quality
+            head = F.when(kind.isin(VIDEO, AV), 16).when(kind == AUDIO, 13).when(kind == SEMANTIC, 9).when(version >= 8, 6).otherwise(old)
+            body = at + 2 + size + head  # where the payload's length stands
+            image = ~kind.isin(VIDEO, AV, AUDIO, SEMANTIC)
+            name = F.decode(F.substring(data, at + 3, size), "UTF-8")
+            return let(F.struct(body.cast("int").alias("body"), number(body, 4).alias("n"), name.alias("name"), image.alias("image"), kind.alias("kind")), second)
+
+        def second(h: Column) -> Column:
+            after = (h["body"] + 4 + h["n"]).cast("int")
+            more = (h["kind"] == AV) | (h["image"] & (version >= 2))
+            at = after + F.when(h["kind"] == AV, 13).otherwise(0)
+            aux = F.when(more, number(at, 4)).otherwise(n)
+            return let(F.struct(h["body"].alias("body"), h["n"].alias("n"), h["name"].alias("name"), h["kind"].alias("kind"), aux.alias("aux"), more.alias("more"), F.when(more, at + 4 + aux).otherwise(after).cast("int").alias("end"), (h["image"] & version.between(5, 7)).alias("turbo")), ended)
+
+        def ended(h: Column) -> Column:
+            def skip(at: Column, times: int) -> Column:
+                for _ in range(times):
+                    at = let(at, lambda a: (a + 4 + number(a, 4)).cast("int"))
+                return at
+
+            flag = h["turbo"] & (h["end"] < F.length(data))
+            tail = F.when(flag & (number(h["end"], 1) == 1), skip(h["end"] + 5, 3)).when(flag, h["end"] + 1).otherwise(h["end"])
+            row = F.struct(h["kind"].alias("modality"), h["name"].alias("name"), h["n"].alias("payload_len"), F.when(h["more"], h["aux"]).alias("aux_payload_len"), (h["body"] + 4).cast("bigint").alias("payload_offset"))
+            return F.struct(tail.cast("int").alias("at"), F.concat(s["found"], F.array(row)).alias("found"))
+
+        return let(F.struct(kind.alias("kind"), start.cast("int").alias("at"), number(start, 2).cast("int").alias("size")), named)
+
+    count = number(F.lit(5), 2).cast("int")
+    walked = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), count)), state, lambda s, i: F.when(i <= count, step(s, i)).otherwise(s))
+    bad = F.when(F.substring(data, 1, 4) != F.lit(MAGIC), F.raise_error(F.lit("not a container"))).when(~version.between(1, VERSION), F.raise_error(F.concat(F.lit("unsupported version "), version.cast("string"))))
+    sound = lambda w: F.when(w["at"] > F.length(data), F.raise_error(F.lit("truncated container"))).otherwise(w["found"])
+    rows = files.select(F.col(path).alias("file"), version.alias("version"), F.coalesce(bad.cast("array<struct<modality:int,name:string,payload_len:bigint,aux_payload_len:bigint,payload_offset:bigint>>"), let(walked, sound)).alias("_e"))
+    return rows.select("file", "version", F.posexplode("_e").alias("entry_idx", "_r")).select("file", "entry_idx", "version", "_r.*")
+
+
 def read(spark: SparkSession, path: str, *, metadata_only: bool = False) -> DataFrame:
-    out = unpack(spark.read.format("binaryFile").load(path).select("path", "content"), metadata_only=metadata_only)
-    return out.drop("payload", "aux_payload") if metadata_only else out
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return metadata(files) if metadata_only else unpack(files)
 
 
 def pack(rows: DataFrame, by: str = "file") -> DataFrame:
@@ -152,31 +208,38 @@ def pack(rows: DataFrame, by: str = "file") -> DataFrame:
             found = [pack_entry(r) for r in batch.select(names).to_pylist()]
             yield pa.record_batch([batch.column("_by"), batch.column("_at"), pa.array(found, pa.binary())], names=["by", "at", "data"])
 
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        if table.num_rows > 65535:
+            raise ValueError("too many entries for one container")
+        content = struct.pack("<4sBH", MAGIC, VERSION, table.num_rows) + b"".join(table.column("data").to_pylist())
+        return pa.table({by: table.column("by").slice(0, 1), "content": pa.array([content], pa.binary()), "n_entries": pa.array([table.num_rows], pa.int32())})
+
     kind = dict(rows.dtypes)[by]
     each = rows.withColumn("_by", F.col(by)).withColumn("_at", F.col("entry_idx").cast("int")).mapInArrow(encode, f"by {kind}, at int, data binary")
-    whole = each.groupBy("by").agg(F.sort_array(F.collect_list(F.struct("at", "data"))).alias("_e")).withColumn("n_entries", F.size("_e"))
-    hexed = F.array_join(F.transform("_e", lambda e: F.hex(e["data"])), "")
-    le16 = F.concat(F.lpad(F.hex(F.col("n_entries").bitwiseAND(255)), 2, "0"), F.lpad(F.hex(F.shiftright("n_entries", 8)), 2, "0"))
-    head = F.lit(MAGIC.hex().upper() + f"{VERSION:02X}")
-    fits = F.when(F.col("n_entries") > 65535, F.raise_error(F.lit("too many entries for one container"))).otherwise(F.unhex(F.concat(head, le16, hexed)))
-    return whole.select(F.col("by").alias(by), fits.alias("content"), "n_entries")
+    return each.groupBy("by").applyInArrow(join, f"{by} {kind}, content binary, n_entries int")
 
 
 def write(rows: DataFrame, folder: str) -> None:
-    """Containers (file, content) as one file each in a folder that all executors share."""
-    import os
+    """Containers (file, content) as one file each in a folder: a path that all executors share, or a URI of a store that Arrow's
+    file systems reach (file, s3, gs, hdfs)."""
+    from pyarrow import fs
+
+    place = lambda: fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, to = place()
         for batch in batches:
             for name, data in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist()):
-                to = os.path.join(folder, os.path.basename(name))
-                part = f"{to}.{os.getpid()}.part"
-                with open(part, "wb") as f:
+                at = f"{to}/{name.rsplit('/', 1)[-1]}"
+                part = f"{at}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as f:
                     f.write(data)
-                os.replace(part, to)  # a repeated task writes the same bytes again
+                store.move(part, at)  # a repeated task writes the same bytes again
             yield pa.record_batch({"n": pa.array([batch.num_rows], pa.int64())})
 
-    os.makedirs(folder, exist_ok=True)
+    store, to = place()
+    store.create_dir(to, recursive=True)
     rows.select("file", "content").mapInArrow(save, "n long").agg(F.sum("n")).collect()
 
 

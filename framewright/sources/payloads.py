@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..operators.latents import ANCHORS, codebook
-from .container import _Cursor
+from .container import _Cursor, read_semantic_payload, semantic_payload
 
 #: The mark of a zstd frame, of seeded legacy video, and of an I-frame with its shape.
 ZSTD_MARK, SEEDED_VIDEO = b"\x28\xb5\x2f\xfd", b"TURV"
@@ -136,3 +136,81 @@ def legacy_frames(df: DataFrame, file: str = "file", payload: str = "payload") -
                     yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in FRAMES.split(", ")])
 
     return df.select(file, payload).mapInArrow(run, FRAMES)
+
+
+def encode_polar(df: DataFrame, key: str, at: str, vector: str, norm_bits: int = 3, dir_bits: int = 3) -> DataFrame:
+    """(key, payload): the vectors of a key, in order of `at`, as one payload. Keys have to be small: an image, a stretch of frames."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(at)
+        x = np.array(table.column(vector).to_pylist(), float)
+        return pa.table({key: table.column(key).slice(0, 1), "payload": pa.array([polar_payload(x, norm_bits, dir_bits)], pa.binary())})
+
+    return df.select(key, at, vector).groupBy(key).applyInArrow(run, f"{key} {dict(df.dtypes)[key]}, payload binary")
+
+
+def decode_polar(df: DataFrame, key: str, payload: str = "payload") -> DataFrame:
+    """(key, row, vector): the vectors of each payload in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, data in enumerate(batch.column(1).to_pylist()):
+                found = read_polar_payload(data)
+                keys = batch.column(0).take(pa.array([k] * len(found), pa.int64()))
+                yield pa.record_batch([keys, pa.array(range(len(found)), pa.int32()), pa.array(found.tolist(), pa.list_(pa.float32()))], names=[key, "row", "vector"])
+
+    return df.select(key, payload).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, row int, vector array<float>")
+
+
+def encode_semantic(df: DataFrame, keys: list[str], transcript: str = "transcript", rate: int = 16000) -> DataFrame:
+    """(keys, payload) from rows with a transcript and, as far as there are such columns, duration_s, embedding, speaking_rate_wpm,
+    f0_mean_hz and rms_db; what is missing or null is 0, or 150 words a minute."""
+    default = {"duration_s": 0.0, "embedding": [], "speaking_rate_wpm": 150.0, "f0_mean_hz": 0.0, "rms_db": 0.0}
+    there = [x for x in default if x in df.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                v = {k: d if r.get(k) is None else r[k] for k, d in default.items()}
+                out.append(semantic_payload(1, rate, v["duration_s"], 1, r[transcript] or "", v["embedding"], v["speaking_rate_wpm"], v["f0_mean_hz"], v["rms_db"]))
+            yield pa.record_batch([*(batch.column(k) for k in keys), pa.array(out, pa.binary())], names=[*keys, "payload"])
+
+    kinds = dict(df.dtypes)
+    return df.select(*keys, transcript, *there).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", payload binary")
+
+
+SEMANTIC = "version int, orig_sr bigint, duration_s double, channels int, transcript string, embedding array<float>, speaking_rate_wpm double, f0_mean_hz double, rms_db double"
+
+
+def inspect_semantic(df: DataFrame, keys: list[str], payload: str = "payload") -> DataFrame:
+    """(keys, the fields of each semantic payload)."""
+    names = [x.split()[0] for x in SEMANTIC.split(", ")]
+    kinds = (pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.string(), pa.list_(pa.float32()), pa.float64(), pa.float64(), pa.float64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [read_semantic_payload(x) for x in batch.column(payload).to_pylist()]
+            yield pa.record_batch([*(batch.column(k) for k in keys), *(pa.array([f[n] for f in found], kind) for n, kind in zip(names, kinds))], names=[*keys, *names])
+
+    types = dict(df.dtypes)
+    return df.select(*keys, payload).mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", " + SEMANTIC)
+
+
+def scales(df: DataFrame, key: str, payload: str = "payload", scale: str = "scale") -> DataFrame:
+    """(key, kind, scales, data): what an old image entry's scale says about its payload.
+
+    -1: stored without loss, no scales; 0: the payload begins with a scale for each channel; else one scale for all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, found, data = [], [], []
+            for p, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                n = struct.unpack_from("<I", p)[0] if x == 0 else 0
+                kind.append("lossless" if x == -1 else "channel" if x == 0 else "global")
+                found.append(None if x == -1 else np.frombuffer(p, "<f4", n, 4).tolist() if x == 0 else [x])
+                data.append(p[4 + 4 * n :] if x == 0 else p)
+            yield pa.record_batch([batch.column(0), pa.array(kind), pa.array(found, pa.list_(pa.float32())), pa.array(data, pa.binary())], names=[key, "kind", "scales", "data"])
+
+    return df.select(key, payload, scale).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, kind string, scales array<float>, data binary")

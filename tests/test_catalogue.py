@@ -54,23 +54,29 @@ def test_containers_follow_the_input(spark, tmp_path):
     assert [(r.file, r.modality, r.n) for r in meta] == [("part-0", container.IMAGE, n)]
 
 
-def test_spectrum_embedding_of_every_user(spark, tmp_path):
+def test_speaker_embedding(spark):
+    """Against a numpy version with a loop for each frame and filter."""
     rng = np.random.default_rng(6)
-    signals = {u: rng.standard_normal(n) for u, n in ((1, 1), (2, 20), (3, 63), (4, 64), (5, 99), (12, 300))}
-    rows = [(100 * u + i, f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", u, float(v)) for u, x in signals.items() for i, v in enumerate(x)]
-    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").withColumn("ts", F.to_timestamp_ntz("ts"))
-    events.write.parquet(f"{tmp_path}/events.parquet")
-    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(64) / 64)
-    weights = np.zeros((20, 33))
-    for k, b, w in signal.mel_filters(16000, 64):
-        weights[k, b] = w
-    got = {r.user_id: r.embedding for r in catalogue.QUERIES["spectrum_embedding"](spark, str(tmp_path)).collect()}
-    assert set(got) == set(signals)
+    signals = {u: rng.standard_normal(n) + 0.5 for u, n in ((1, 64), (2, 99), (3, 300))}
+    rows = [(u, i, float(v)) for u, x in signals.items() for i, v in enumerate(x)] + [(4, i, 1.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "k long, i long, v double")
+    got = {r.k: r.embedding for r in signal.embedding(signal.spectrum(df, "k", "i", "v", 16000, 64, 32), "k", 16000, 64).collect()}
+    assert set(got) == set(signals)  # a signal shorter than a frame has none
+    t = np.arange(64)
+    window = np.array([0.5 * (1 - math.cos(2 * math.pi * x / 16)) if x < 8 else 1.0 if x <= 56 else 0.5 * (1 - math.cos(2 * math.pi * (64 - x) / 16)) for x in t])
+    corners = [int(700 * (10 ** (m / 2595) - 1) / 8000 * 32) for m in np.linspace(2595 * math.log10(1 + 80 / 700), 2595 * math.log10(1 + 7600 / 700), 22)]
     for u, x in signals.items():
-        x = np.pad(x, (0, max(0, 64 - len(x))))
-        power = np.mean([np.abs(np.fft.rfft(x[s : s + 64] * hann)) ** 2 for s in range(0, len(x) - 63, 32)], axis=0) / (16000 * (hann**2).sum())
-        power[1:-1] *= 2
-        logs = np.log(np.maximum(weights @ power, 1e-10))
+        power = []
+        for s in range(0, len(x) - 63, 32):
+            y = (x[s : s + 64] - x[s : s + 64].mean()) * window
+            p = np.array([abs((y * np.exp(-2j * math.pi * k * t / 64)).sum()) ** 2 for k in range(33)]) / window.sum() ** 2
+            p[1:32] *= 2
+            power.append(p)
+        power = np.mean(power, axis=0)
+        energy = []
+        for lo, mid, hi in zip(corners, corners[1:], corners[2:]):
+            energy.append(sum(power[k] * (k - lo) / (mid - lo) for k in range(lo, mid)) + sum(power[k] * (hi - k) / (hi - mid) for k in range(mid, hi)))
+        logs = np.log(np.maximum(energy, 1e-10))
         c = np.array([math.sqrt((1 if k == 0 else 2) / 20) * sum(e * math.cos(math.pi * k * (2 * m + 1) / 40) for m, e in enumerate(logs)) for k in range(20)])
         assert np.allclose(got[u], c / np.linalg.norm(c), atol=1e-9)
 
@@ -95,3 +101,16 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 30
     assert set(catalogue.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_reports_of_the_command_line(spark, tmp_path, capsys):
+    from framewright import __main__ as m
+
+    (tmp_path / "in").mkdir()
+    for n in ("a.png", "b.wav"):
+        (tmp_path / "in" / n).write_bytes(n.encode() * 900)
+    m.pack(spark, str(tmp_path / "in"), str(tmp_path / "c.mpack"), 95.0, 3.0)
+    out = capsys.readouterr().out
+    assert "lossless" in out and "3,600 bytes" not in out and "% of target)" in out and out.count("EXACT MATCH") == 2
+    m.unpack(spark, str(tmp_path / "c.mpack"), str(tmp_path / "in"))
+    assert (tmp_path / "c_unpacked" / "0_a.png").read_bytes() == b"a.png" * 900

@@ -60,6 +60,62 @@ def test_codebook():
     assert all(a < t < b for a, t, b in zip(centres, thresholds, centres[1:]))
 
 
+def test_codebook_is_the_published_one():
+    """Max (1960): output levels of the 16-level quantiser of a normal variable, the positive half."""
+    assert np.allclose(la.codebook(8)[1], [0.1284, 0.3881, 0.6568, 0.9424, 1.256, 1.618, 2.069, 2.733], atol=6e-4)
+    assert np.allclose(la.codebook(4)[1], [0.2451, 0.7560, 1.344, 2.152], atol=6e-4)
+
+
+def test_rotation_is_the_seeded_matrix_s():
+    q, a = la.rotation(16, 42), np.random.RandomState(42).standard_normal((16, 16))
+    assert np.abs(np.tril(q.T @ a, -1)).max() < 1e-9
+
+
+def test_recursion_by_blocks():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 255, 256, 257, 1000):
+        for b, a in (((1.0, 0.0, 0.0), (1.0, -0.97, 0.0)), ((0.3, 0.2, 0.1), (2.0, 0.4, -0.3))):
+            x, y = rng.standard_normal(n), []
+            past = lambda v, t: v[t] if t >= 0 else 0.0
+            for t in range(n):
+                y.append((b[0] * x[t] + b[1] * past(x, t - 1) + b[2] * past(x, t - 2) - a[1] * past(y, t - 1) - a[2] * past(y, t - 2)) / a[0])
+            assert np.allclose(sq.recursion(x, b, a), y)
+
+
+def test_arrays_times_matrices(spark):
+    m = np.arange(6.0).reshape(3, 2)
+    df = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, None)], "k int, v array<double>")
+    assert [r[0] for r in df.orderBy("k").select(la.times(F.col("v"), m)).collect()] == [[16.0, 22.0], None]
+    assert df.limit(0).select(la.times(F.col("v"), m)).count() == 0
+
+
+def test_noise_floor_is_the_exact_percentile(spark):
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.exponential(1, 1001), "b": np.repeat([0.0, 1.0, 5.0], [30, 200, 3]), "c": np.array([7.0]), "d": np.zeros(4), "e": np.array([1.0, 2.0])}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("a", None)]
+    for part in (0.0, 0.1, 0.5, 1.0):
+        got = {r.k: r.noise for r in sg.noise_floor(spark.createDataFrame(rows, "k string, m double"), ["k"], "m", part).collect()}
+        assert got == pytest.approx({k: float(np.quantile(x, part)) for k, x in groups.items()})
+
+
+def test_high_layer(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal(700)
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)] + [(2, 0, 1.0)], "k int, i int, v double")
+    layers = sg.high_layer(df, "k", "i", "v", 24000, 9)
+    got = {r.k: r for r in layers.collect()}
+    assert (got[1].chunks, len(got[1].bits), got[2].chunks, len(got[2].bits)) == (5, 5 * 32 // 8, 0, 0)
+    high = sg._high_passed(x, 24000, 8000.0)[:640].reshape(128, 5)
+    turn, sign = la.rotation(128, 9 ^ 0xCAFEBABE), la.signs(128, 32, 9 ^ 0xCAFEBABE)
+    bits = [int((turn @ high[:, c]) @ sign[:, j] >= 0) for c in range(5) for j in range(32)]
+    assert np.unpackbits(np.frombuffer(got[1].bits, np.uint8)).tolist() == bits
+    back = {r.idx: r.correction for r in sg.from_high_layer(layers, "k", 9).filter("k = 1").collect()}
+    want = np.stack([turn.T @ (sign @ (np.array(bits[32 * c : 32 * c + 32]) * 2.0 - 1) * 0.02 / 32) for c in range(5)], 1).reshape(-1)
+    assert np.allclose([back[i] for i in range(640)], want)
+    corrected = la.add_to_prefix(df.select("k", F.col("i").alias("idx"), F.col("v").alias("value")), sg.from_high_layer(layers, "k", 9).select("k", "idx", F.col("correction").alias("value")), ["k", "idx"])
+    assert corrected.count() == 701
+
+
 def test_rotation_keeps_lengths():
     q = la.rotation(32, 5)
     assert np.abs(q @ q.T - np.eye(32)).max() < 1e-9
@@ -143,10 +199,56 @@ def test_container_files(spark, tmp_path):
     full = container.read(spark, str(tmp_path)).orderBy("entry_idx").collect()
     assert [(r.name, bytes(r.payload)) for r in full] == [(f"../n{i}é.png", b"x" * i) for i in range(7)]
     meta = container.read(spark, str(tmp_path), metadata_only=True)
-    assert "payload" not in meta.columns and meta.agg(F.sum("payload_len")).first()[0] == 21
+    assert "payload" not in meta.columns and [(r.entry_idx, r.modality, r.name, r.payload_offset) for r in meta.orderBy("entry_idx").collect()] == [(r.entry_idx, r.modality, r.name, r.payload_offset) for r in full]
+    assert meta.agg(F.sum("payload_len")).first()[0] == 21
     assert meta.select(s.output_name(F.col("name"), F.lit("audio")).alias("n")).filter(F.contains("n", F.lit("/"))).count() == 0
 
 
+def test_metadata_of_all_versions(spark):
+    """The expression that steps from head to head, against the reader of whole entries."""
+    blob = lambda b: struct.pack("<I", len(b)) + b
+    files = []
+    for version in range(1, 9):
+        body = b""
+        for k in range(3):
+            if version >= 3:
+                body += bytes([container.IMAGE])
+            name = f"né{k}.png".encode()
+            body += struct.pack("<H", len(name)) + name
+            if version == 8:
+                body += struct.pack("<HHBB", 3, 4, 0, 2)
+            else:
+                body += struct.pack("<HH4If", 5, 6, 1, 128, 2, 2, 0.5) + (b"\x02" if version >= 7 else b"")
+            body += blob(b"p" * (k * 70000)) + (blob(b"q" * k) if version >= 2 else b"")
+            if 5 <= version < 8:
+                body += b"\x01" + struct.pack("<I", 7) + blob(b"a") + blob(b"") + blob(b"ccc") if k == 1 else b"\x00" if k == 0 else b""
+        files.append((f"v{version}", struct.pack("<4sBH", container.MAGIC, version, 3) + body))
+    mixed = [{"modality": m, "name": f"m{m}", "payload": b"x" * (10 + m), "aux_payload": b"y" * m} for m in range(5)]
+    files += [("mixed", struct.pack("<4sBH", container.MAGIC, 8, 5) + b"".join(map(container.pack_entry, mixed))), ("none", struct.pack("<4sBH", container.MAGIC, 8, 0))]
+    df = spark.createDataFrame(files, "path string, content binary")
+    got = {(r.file, r.entry_idx): (r.version, r.modality, r.name, r.payload_len, r.aux_payload_len, r.payload_offset) for r in container.metadata(df).collect()}
+    want = {(f, e["entry_idx"]): (e["version"], e["modality"], e["name"], e["payload_len"], e.get("aux_payload_len"), e["payload_offset"]) for f, data in files for e in container.entries(data, False)}
+    assert got == want
+    for bad in (b"NOPE\x08\x00\x00", struct.pack("<4sBH", container.MAGIC, 9, 0), files[8][1][:-1]):
+        with pytest.raises(Exception):
+            container.metadata(spark.createDataFrame([("f", bad)], "path string, content binary")).collect()
+
+
+def test_payload_scales(spark):
+    from framewright.sources import payloads as p
+
+    rows = [(1, b"abc", -1.0), (2, struct.pack("<I2f", 2, 0.5, 2.0) + b"zz", 0.0), (3, b"q", 0.25)]
+    got = [(r.kind, r.scales, bytes(r.data)) for r in p.scales(spark.createDataFrame(rows, "k int, payload binary, scale float"), "k").orderBy("k").collect()]
+    assert got == [("lossless", None, b"abc"), ("channel", [0.5, 2.0], b"zz"), ("global", [0.25], b"q")]
+
+
+def test_psnr_of_matched_images(spark):
+    rows = [("a", True, [0.0, 1.0], [0.0, 1.0]), ("b", True, [0.0, 1.0], [0.1, 0.9]), ("c", True, None, [0.1, 0.9]), ("d", False, [0.0], [0.5]), ("e", True, [2.0, -1.0], [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "n string, image boolean, o array<double>, r array<double>")
+    got = {r.n: (r.psnr, r.verdict) for r in pl.psnr_report(df, "o", "r", F.col("image")).collect()}
+    assert got["a"] == (math.inf, "Great.") == got["e"] and got["b"][0] == pytest.approx(20.0) and got["b"][1] == "Acceptable." and got["c"] == got["d"] == (None, None)
+
+
 def test_payloads():
     assert container.read_native_bitstream(container.native_bitstream([[b"a", b""], []], 3, 4)) == ([[b"a", b""], []], 3, 4)
     p = container.read_semantic_payload(container.semantic_payload(1, 16000, 1.5, 1, "hé", [0.5, -1.0], 150.0, 0.0, -20.0))
