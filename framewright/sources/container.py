@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import from_le_hex, let
+from ..functions.scalars import let
 
 #: Fixed values of the format: mark, newest version, modalities. All numbers are little-endian.
 MAGIC, VERSION = b"TINY", 8
@@ -144,13 +144,33 @@ def metadata(files: DataFrame, *, path: str = "path", content: str = "content")
 
     Only the entries' heads are looked at, a few bytes each, by expressions. Errors are those of unpack().
     """
-    data = F.col(content)
-    number = lambda at, size: F.coalesce(from_le_hex(F.hex(F.substring(data, at + 1, size))), F.lit(0).cast("bigint"))
+    rows = files.select(F.col(path).alias("file"), F.explode(F.array(let(F.col(content), _heads))).alias("_e"))
+    return rows.select("file", F.posexplode("_e").alias("entry_idx", "_r")).select("file", "entry_idx", "_r.*").select("file", "entry_idx", "version", *_HEAD[1:])
+
+
+_HEAD = ["version", "modality", "name", "payload_len", "aux_payload_len", "payload_offset"]
+_HEADS = "array<struct<version:int,modality:int,name:string,payload_len:bigint,aux_payload_len:bigint,payload_offset:bigint>>"
+
+
+def _heads(data: Column) -> Column:
+    """The entries' heads in a container's bytes, as _HEADS; data is a bound name, so that its bytes are not copied for each use."""
+    byte = lambda at, k: F.hex(F.substring(data, at + (k + 1), 1))
+
+    def number(at: Column, size: int) -> Column:
+        """A little-endian number of `size` bytes; 0 beyond the end."""
+        return F.coalesce(F.conv(F.concat(*[byte(at, k) for k in reversed(range(size))]), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
+
     n = F.lit(0).cast("bigint")
-    state = F.struct(F.lit(7).cast("int").alias("at"), F.array().cast("array<struct<modality:int,name:string,payload_len:bigint,aux_payload_len:bigint,payload_offset:bigint>>").alias("found"))
-    version = number(F.lit(4), 1).cast("int")
+    state = F.struct(F.lit(7).cast("int").alias("at"), F.array().cast(_HEADS).alias("found"))
+
+    def walk(version: Column) -> Column:
+        bad = F.when(F.substring(data, 1, 4) != F.lit(MAGIC), F.raise_error(F.lit("not a container"))).when(~version.between(1, VERSION), F.raise_error(F.concat(F.lit("unsupported version "), version.cast("string"))))
+        steps = F.filter(F.sequence(F.lit(0), number(F.lit(5), 2).cast("int")), lambda i: i > 0)
+        walked = F.aggregate(steps, state, lambda s, _: step(version, s))
+        sound = lambda w: F.when(w["at"] > F.length(data), F.raise_error(F.lit("truncated container"))).otherwise(w["found"])
+        return F.coalesce(bad.cast(_HEADS), let(walked, sound))
 
-    def step(s: Column, _: Column) -> Column:
+    def step(version: Column, s: Column) -> Column:
         kind = F.when(version >= 3, number(s["at"], 1).cast("int")).otherwise(F.lit(IMAGE))
         start = s["at"] + F.when(version >= 3, 1).otherwise(0)
 
@@ -178,17 +198,12 @@ def metadata(files: DataFrame, *, path: str = "path", content: str = "content")
 
             flag = h["turbo"] & (h["end"] < F.length(data))
             tail = F.when(flag & (number(h["end"], 1) == 1), skip(h["end"] + 5, 3)).when(flag, h["end"] + 1).otherwise(h["end"])
-            row = F.struct(h["kind"].alias("modality"), h["name"].alias("name"), h["n"].alias("payload_len"), F.when(h["more"], h["aux"]).alias("aux_payload_len"), (h["body"] + 4).cast("bigint").alias("payload_offset"))
+            row = F.struct(version.alias("version"), h["kind"].alias("modality"), h["name"].alias("name"), h["n"].alias("payload_len"), F.when(h["more"], h["aux"]).alias("aux_payload_len"), (h["body"] + 4).cast("bigint").alias("payload_offset"))
             return F.struct(tail.cast("int").alias("at"), F.concat(s["found"], F.array(row)).alias("found"))
 
         return let(F.struct(kind.alias("kind"), start.cast("int").alias("at"), number(start, 2).cast("int").alias("size")), named)
 
-    count = number(F.lit(5), 2).cast("int")
-    walked = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), count)), state, lambda s, i: F.when(i <= count, step(s, i)).otherwise(s))
-    bad = F.when(F.substring(data, 1, 4) != F.lit(MAGIC), F.raise_error(F.lit("not a container"))).when(~version.between(1, VERSION), F.raise_error(F.concat(F.lit("unsupported version "), version.cast("string"))))
-    sound = lambda w: F.when(w["at"] > F.length(data), F.raise_error(F.lit("truncated container"))).otherwise(w["found"])
-    rows = files.select(F.col(path).alias("file"), version.alias("version"), F.coalesce(bad.cast("array<struct<modality:int,name:string,payload_len:bigint,aux_payload_len:bigint,payload_offset:bigint>>"), let(walked, sound)).alias("_e"))
-    return rows.select("file", "version", F.posexplode("_e").alias("entry_idx", "_r")).select("file", "entry_idx", "version", "_r.*")
+    return let(number(F.lit(4), 1).cast("int"), walk)
 
 
 def read(spark: SparkSession, path: str, *, metadata_only: bool = False) -> DataFrame:
