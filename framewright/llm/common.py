@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import let as let
+
 #: A word is a run of characters other than the ASCII white space (bytes.split() has the same rule).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -101,11 +103,6 @@ def n_words(text: Column) -> Column:
     return F.size(word_array(text)).cast("long")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind `value` to a name inside an expression, so that it is computed once for a row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (the published splitmix64 constants): every input bit reaches every output bit."""
     with np.errstate(over="ignore"):
