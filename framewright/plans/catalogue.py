@@ -815,3 +815,33 @@ def _(spark, d):
 @query("even_spacing", "SELECT n_nationkey, i, round(-1.0 + i * 0.25, 6) + 0.0 AS v FROM (SELECT n_nationkey, unnest(range(9)) AS i FROM nation)")
 def _(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.posexplode(s.linspace(-1.0, 1.0, 9)).alias("i", "v")).withColumn("v", _r("v"))
+
+
+_FRAMES = "SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events"
+
+
+def _frames(spark, d) -> DataFrame:
+    t = sq.number(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"])
+    return t.select("user_id", "idx", F.col("event_type").cast("binary").alias("data"))
+
+
+@query("legacy_frames_roundtrip", f"SELECT CAST(user_id AS VARCHAR) AS file, idx AS frame_idx, CASE WHEN idx % 8 = 0 THEN 0 ELSE 1 END AS frame_type, (idx // 8) * 8 AS ref_idx, xor(CAST(9 AS BIGINT), idx) AS seed, strlen(event_type) AS bytes FROM ({_FRAMES})")
+def _(spark, d):
+    t = _frames(spark, d).select(F.col("user_id").cast("string").alias("file"), F.col("idx").alias("frame_idx"), F.when(F.col("idx") % 8 == 0, 0).otherwise(1).alias("frame_type"), (F.floor(F.col("idx") / 8) * 8).alias("ref_idx"), "data")
+    back = payloads.legacy_frames(payloads.encode_frames(t, "file", seed=9))
+    return back.select("file", "frame_idx", "frame_type", "ref_idx", "seed", F.octet_length("data").cast("bigint").alias("bytes"))
+
+
+@query("video_chunks_roundtrip", f"SELECT user_id, (idx // 8) * 8 AS start, count(*) AS length, upper(hex(string_agg(event_type, '' ORDER BY idx))) AS data FROM ({_FRAMES}) GROUP BY user_id, idx // 8")
+def _(spark, d):
+    joined = sq.chunks(_frames(spark, d).withColumn("text", F.col("data").cast("string")), ["user_id"], "idx", "text", 8)
+    packed = payloads.encode_chunks(joined.select("user_id", "start", "length", F.array_join("values", "").cast("binary").alias("data")), "user_id")
+    return payloads.decode_chunks(packed, "user_id").select("user_id", "start", "length", F.hex("data").alias("data"))
+
+
+@query("audio_codes_roundtrip", f"SELECT vec_id, CAST(pos // 16 AS INT) AS codebook, CAST(pos % 16 AS INT) AS step, CAST(floor(value * 1000) AS INT) AS code FROM ({_LATENT})")
+def _(spark, d):
+    codes = F.transform("v", lambda x: F.floor(x * 1000).cast("int"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice(codes, k * 16 + 1, 16))
+    back = payloads.decode_codes(payloads.encode_codes(_vectors(spark, d).select("vec_id", grid.alias("codes")), "vec_id"), "vec_id")
+    return back.select("vec_id", F.posexplode("codes").alias("codebook", "steps")).select("vec_id", "codebook", F.posexplode("steps").alias("step", "code"))

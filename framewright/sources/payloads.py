@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..operators.latents import ANCHORS, codebook
-from .container import _Cursor, read_semantic_payload, semantic_payload
+from .container import _Cursor, read_semantic_payload, read_video_payload, semantic_payload, video_payload
 
 #: The mark of a zstd frame, of seeded legacy video, and of an I-frame with its shape.
 ZSTD_MARK, SEEDED_VIDEO = b"\x28\xb5\x2f\xfd", b"TURV"
@@ -214,3 +214,62 @@ def scales(df: DataFrame, key: str, payload: str = "payload", scale: str = "scal
             yield pa.record_batch([batch.column(0), pa.array(kind), pa.array(found, pa.list_(pa.float32())), pa.array(data, pa.binary())], names=[key, "kind", "scales", "data"])
 
     return df.select(key, payload, scale).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, kind string, scales array<float>, data binary")
+
+
+def _gathered(df: DataFrame, key: str, order: str, columns: list[str], make) -> DataFrame:
+    """(key, payload): the rows of a key, in order, as one payload. A payload is one value, so its rows come together in one task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by(order).select(columns).to_pylist()
+        return pa.table({key: table.column(key).slice(0, 1), "payload": pa.array([make(rows)], pa.binary())})
+
+    return df.select(key, *dict.fromkeys([order, *columns])).groupBy(key).applyInArrow(run, f"{key} {dict(df.dtypes)[key]}, payload binary")
+
+
+def _scattered(df: DataFrame, key: str, payload: str, schema: str, kinds: list[pa.DataType], read) -> DataFrame:
+    """(key, fields): the rows that each payload holds, as tuples by read()."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, data in enumerate(batch.column(1).to_pylist()):
+                rows = list(read(data))
+                if rows:
+                    keys = batch.column(0).take(pa.array([k] * len(rows), pa.int64()))
+                    yield pa.record_batch([keys, *(pa.array(x, kind) for x, kind in zip(zip(*rows), kinds))], names=[key, *names])
+
+    return df.select(key, payload).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, {schema}")
+
+
+def encode_frames(df: DataFrame, key: str, size: tuple[int, int] = (64, 48), downsample: int = 1, seed: int | None = None) -> DataFrame:
+    """Rows (key, frame_idx, frame_type, ref_idx, data) to one legacy video payload for each key; legacy_frames() reads them back."""
+    make = lambda rows: legacy_video([tuple(r.values()) for r in rows], size, downsample, max(r["frame_idx"] for r in rows) + 1, seed)
+    return _gathered(df, key, "frame_idx", ["frame_idx", "frame_type", "ref_idx", "data"], make)
+
+
+def encode_chunks(df: DataFrame, key: str, quality: int = 1, size: tuple[int, int] = (64, 48), fps: float = 24.0) -> DataFrame:
+    """Rows (key, start, length, data) to one chunked video payload for each key."""
+    pad = tuple(-(-x // 64) * 64 for x in size)
+    make = lambda rows: video_payload(quality, pad, size, fps, sum(r["length"] for r in rows), [tuple(r.values()) for r in rows])
+    return _gathered(df, key, "start", ["start", "length", "data"], make)
+
+
+def decode_chunks(df: DataFrame, key: str, payload: str = "payload") -> DataFrame:
+    """(key, start, length, data) of every chunk of the payloads."""
+    return _scattered(df, key, payload, "start bigint, length bigint, data binary", [pa.int64(), pa.int64(), pa.binary()], lambda data: read_video_payload(data)["chunks"])
+
+
+def encode_codes(df: DataFrame, key: str, codes: str = "codes") -> DataFrame:
+    """Rows (key, codes: codebooks x steps) to one audio payload each, without a layer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([audio_payload(np.array(x, np.int16)) for x in batch.column(1).to_pylist()], pa.binary())], names=[key, "payload"])
+
+    return df.select(key, codes).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, payload binary")
+
+
+def decode_codes(df: DataFrame, key: str, payload: str = "payload") -> DataFrame:
+    """(key, layer, codes) of audio payloads of both versions."""
+    read = lambda data: [(f["layer"], f["codes"].tolist()) for f in (read_audio_payload(data),)]
+    return _scattered(df, key, payload, "layer int, codes array<array<int>>", [pa.int32(), pa.list_(pa.list_(pa.int32()))], read)
