@@ -204,3 +204,42 @@ def test_pipeline_is_brute_force(spark, data):
     assert [r.position for r in rows] == sorted(r.position for r in rows)
     # every stage had something to do
     assert len(whole) < len(source) and len(firsts) < len(whole) and leaks and any(t != whole[d] for d, t in texts.items())
+
+
+def test_stages_on_odd_tables(spark, data):
+    """Nulls in any column, empty, repeated and very long texts, ids that texts share, a column with a clashing name, no rows."""
+    import corpus_pipeline as p
+
+    long = " ".join(f"word{i % 977}x{i % 31}" for i in range(20_000))
+    good = " ".join(f"alpha{i} beta{i % 7}" for i in range(60))
+    rows = [(1, good, "en", "s", 5), (1, good, "en", "s", 5), (2, good, None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (None, good + " more", "en", "s", 1), (None, None, None, None, None)]
+    rows += [(5, "one text " * 40, "en", "s", 1), (5, "another text " * 40, "en", "s", 1), (6, long, "en", "t", 1), (7, "tail " + long, "en", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("position", F.lit("x"))
+    for name, stage in p.STAGES:
+        for df in (docs, docs.limit(0)):
+            out = stage(spark, df, data)
+            found = out.collect()
+            assert out.columns[:5] == p.COLUMNS and (len(out.columns) == 5) == (name != p.STAGES[-1][0])
+            assert bool(found) == (df is docs), name
+            kept = [(r.doc_id, r.text) for r in found] if df is docs else kept
+        if name == "ngram_jaccard_join":  # of the copies the first, of rows that share an id one
+            assert sorted(i for i, _ in kept if i is not None) == [1, 3, 4, 5, 6] and len(kept) == 7
+        if name == "substring_dedup":
+            assert {i for i, _ in kept} >= {1, None, 3, 4, 6} and (7, "tail") in kept and 2 not in {i for i, _ in kept}
+        if name == "benchmark_decontamination":
+            assert len(kept) == len(rows)
+        if name == "source_mixing":
+            assert all(t for _, t in kept)
+
+
+@pytest.mark.parametrize("name", ["op3_quality_classifier", "op7_quality_rules", "op9_language_id"])
+def test_one_row_for_each_row(spark, data, tmp_path, name):
+    """Repeated rows, rows that share an id but not a text, null ids and very long texts come back row by row."""
+    base = spark.read.parquet(f"{data}/documents.parquet")
+    extra = [(1, "other text of a shared id", "en", "s", 3), (None, "no id", "en", None, None), (None, None, None, None, None), (9_000_001, "lang word " * 60_000, "en", "s", 1)]
+    docs = base.unionByName(base.limit(3)).unionByName(spark.createDataFrame(extra, base.schema))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{data}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    got = q.QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(got) == base.count() + 3 + len(extra)
+    assert all(v is not None for r in got for k, v in r.asDict().items() if k != "doc_id")
