@@ -111,6 +111,58 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: For word hashes: which bytes are white space, A-Z lower-cased, and a random number for each byte at each of the first places.
+_SPACE_BYTE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER_BYTE = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
+_PLACES = 64
+_AT_PLACE = np.random.default_rng(20).integers(0, 1 << 64, _PLACES * 256, np.uint64)
+
+
+def hash_words(texts: list[bytes], lower: bool = False, piece: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, one after the other, and the number of words of each text.
+
+    A hash is the sum of a random number for each byte and its place in the word, mixed with the length: no word is made as
+    an object. lower: A-Z count as a-z.
+    """
+    found, lengths_of, many = [], [], np.zeros(len(texts), np.int64)
+    for lo, hi in _runs(texts, piece):
+        flat = np.frombuffer(b"\n".join([*texts[lo:hi], b""]), np.uint8)
+        size = np.array([len(t) + 1 for t in texts[lo:hi]])
+        inside = np.zeros(len(flat) + 2, bool)
+        np.logical_not(_SPACE_BYTE[flat], out=inside[1:-1])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, lengths = edge[::2], edge[1::2] - edge[::2]
+        many[lo:hi] = np.diff(np.searchsorted(starts, np.append(0, np.cumsum(size))))
+        if not len(starts):
+            continue
+        chars = flat[inside[1:-1]]
+        chars = _LOWER_BYTE[chars] if lower else chars
+        first = np.cumsum(lengths) - lengths
+        place = np.arange(len(chars)) - np.repeat(first, lengths)
+        if lengths.max() <= _PLACES:
+            value = _AT_PLACE[(place << 8) | chars]
+        else:
+            value = np.where(place < _PLACES, _AT_PLACE[(np.minimum(place, _PLACES - 1) << 8) | chars], mix(((place << 8) | chars).astype(np.uint64)))
+        found.append(np.add.reduceat(value, first))
+        lengths_of.append(lengths)
+    if not found:
+        return np.zeros(0, np.uint64), many
+    with np.errstate(over="ignore"):
+        return mix(np.concatenate(found) + np.concatenate(lengths_of).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), many
+
+
+def _runs(texts: list[bytes], piece: int) -> Iterator[tuple[int, int]]:
+    """Numbers of texts, from and to, that are about `piece` bytes together (one text at least)."""
+    lo = total = 0
+    for k, t in enumerate(texts):
+        total += len(t)
+        if total >= piece:
+            yield lo, k + 1
+            lo, total = k + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 class _Memo(dict):
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)

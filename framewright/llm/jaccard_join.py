@@ -38,13 +38,11 @@ PICKS = (3, 6)
 _U = np.uint64
 
 
-def shingle_sets(texts: list[bytes], hasher: c.WordHasher, width: int = 5) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text (A-Z lower-cased; fewer words: all of them as one shingle)."""
-    words = [t.lower().split() for t in texts]
-    lengths = np.array([len(w) for w in words])
-    if not lengths.sum():
+    h, lengths = c.hash_words(texts, lower=True)
+    if not len(h):
         return [np.zeros(0, _U) for _ in texts]
-    h = hasher([x for w in words for x in w])
     ends = np.cumsum(lengths)
     grams = window_hashes(h, width) if len(h) >= width else np.zeros(0, _U)
     out = []
@@ -89,7 +87,7 @@ class Bands:
 
 class _Packer:
     def __init__(self, buckets: int, percent: int, width: int) -> None:
-        self.buckets, self.width, self.bands, self.words = buckets, width, Bands(percent), c.WordHasher()
+        self.buckets, self.width, self.bands = buckets, width, Bands(percent)
         self.clear()
 
     def clear(self) -> None:
@@ -97,7 +95,7 @@ class _Packer:
 
     def add(self, texts: list[bytes]) -> None:
         sets = []
-        for s in shingle_sets(texts, self.words, self.width):
+        for s in shingle_sets(texts, self.width):
             if len(s):
                 f = fingerprint(s)
                 if f not in self.seen:
@@ -252,10 +250,9 @@ def _nodes(docs: DataFrame, text: str, width: int) -> DataFrame:
     """(doc_id, n, node) for every row: node is a 64-bit hash of the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = c.WordHasher()
         for batch in batches:
             for part in c.slices(batch, "t", 4 << 20):
-                sets = shingle_sets(part.column("t").to_pylist(), hasher, width)
+                sets = shingle_sets(part.column("t").to_pylist(), width)
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([fingerprint(s) for s in sets], pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
@@ -342,10 +339,9 @@ def links(docs: DataFrame, nodes: DataFrame, *, percent: int, width: int, text:
     text_rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = c.WordHasher()
         for batch in batches:
             for part in c.slices(batch, "t", 4 << 20):
-                sets = shingle_sets(part.column("t").to_pylist(), hasher, width)
+                sets = shingle_sets(part.column("t").to_pylist(), width)
                 yield pa.record_batch({"node": pa.array([fingerprint(s) for s in sets], pa.int64()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     wanted = reps.select(F.col("_id").alias("_r")).distinct()

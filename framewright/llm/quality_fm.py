@@ -39,12 +39,10 @@ def _classes() -> np.ndarray:
 _KINDS = _classes()
 
 
-def features(texts: list[bytes], claims: list[int | None], hasher: c.WordHasher):
+def features(texts: list[bytes], claims: list[int | None]):
     """(row, bucket, value) triples in row order with 1-norm scaled word counts, and the statistics of each text."""
-    words = [t.split() for t in texts]
-    n = np.array([len(w) for w in words])
+    h, n = c.hash_words(texts, lower=True)
     size = np.array([len(t) for t in texts])
-    h = hasher([x.lower() for w in words for x in w])
     row = np.repeat(np.arange(len(texts)), n)
     cell, count = np.unique(row.astype(np.int64) * BUCKETS + (c.mix(h) % _U(BUCKETS)).astype(np.int64), return_counts=True)
     rows, bucket = cell // BUCKETS, cell % BUCKETS
@@ -134,8 +132,8 @@ class Machine:
                 self.v[used] -= (rate * dv / np.sqrt(gv[used])).astype(np.float32)
                 self.b -= rate * db / gb**0.5
 
-    def scores(self, texts: list[bytes], claims: list, hasher: c.WordHasher) -> np.ndarray:
-        rows, bucket, value, stats = features(texts, claims, hasher)
+    def scores(self, texts: list[bytes], claims: list) -> np.ndarray:
+        rows, bucket, value, stats = features(texts, claims)
         z, _ = self.logits(*self.sparse(rows, bucket, value, stats), len(texts))
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
@@ -156,10 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, text:
     picked = docs.join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = c.WordHasher()
         for batch in batches:
             for part in c.slices(batch, "t", 2 << 20):
-                rows, bucket, value, stats = features(part.column("t").to_pylist(), part.column("claim").to_pylist(), hasher)
+                rows, bucket, value, stats = features(part.column("t").to_pylist(), part.column("claim").to_pylist())
                 cut = np.searchsorted(rows, np.arange(part.num_rows + 1))
                 pieces = [(bucket[a:b].astype("<u2").tobytes(), value[a:b].astype("<f4").tobytes(), s.astype("<f4").tobytes()) for a, b, s in zip(cut, cut[1:], stats)]
                 yield pa.record_batch([part.column("doc_id"), part.column("label"), *[pa.array(x, pa.binary()) for x in zip(*pieces)]], names=["doc_id", "label", "i", "x", "s"])
@@ -180,10 +177,9 @@ def score(docs: DataFrame, model: Machine, *, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS * (RANK + 1) floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = c.WordHasher()
         for batch in batches:
             for part in c.slices(batch, "t", 2 << 20):
-                found = shared.value.scores(part.column("t").to_pylist(), part.column("claim").to_pylist(), hasher)
+                found = shared.value.scores(part.column("t").to_pylist(), part.column("claim").to_pylist())
                 yield pa.record_batch([part.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
     return _rows(docs, text).mapInArrow(run, "doc_id long, score double")

@@ -173,18 +173,20 @@ class _Texts:
     """Word hashes of texts, each (doc, h) once for each batch."""
 
     def __init__(self, window: int) -> None:
-        self.window, self.words, self.seen = window, c.WordHasher(), set()
+        self.window, self.seen = window, set()
 
     def hashes(self, ids: list[int], hs: list[int], texts: list[bytes]):
         """The rows that are new and long enough, their numbers of words, and all their words' hashes."""
-        rows, found = [], []
-        for k, (i, h, t) in enumerate(zip(ids, hs, texts)):
-            w = t.split()
-            if len(w) >= self.window and (i, h) not in self.seen:
-                self.seen.add((i, h))
+        h, many = c.hash_words(texts)
+        rows = []
+        for k, (i, key) in enumerate(zip(ids, hs)):
+            if many[k] >= self.window and (i, key) not in self.seen:
+                self.seen.add((i, key))
                 rows.append(k)
-                found.append(self.words(w))
-        return np.array(rows, np.int64), np.array([len(x) for x in found], np.int64), np.concatenate(found) if found else np.zeros(0, _U)
+        rows = np.array(rows, np.int64)
+        keep = np.zeros(len(texts), bool)
+        keep[rows] = True
+        return rows, many[rows], h[np.repeat(keep, many)]
 
 
 SYMBOLS = "key bigint, n int, doc bigint, h int, start int, off int, many int"
