@@ -110,9 +110,15 @@ def reflect_pad(pixels: Column, width: int, height: int, to_width: int, to_heigh
     return F.transform(cells, lambda i: at(F.floor(i / to_width).cast("int"), i % to_width))
 
 
+def samples(seconds: Column, rate: Column) -> Column:
+    """How many samples a signal of that length has; null if the length or the rate is."""
+    n = F.floor(seconds * rate)
+    return F.when(n.isNotNull(), F.greatest(F.lit(0), n)).cast("int")
+
+
 def silence(seconds: Column, rate: Column) -> Column:
     """As many zeros as a signal of that length has samples: what stands in where there is no text or no voice."""
-    return F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.floor(seconds * rate)).cast("int"))
+    return F.array_repeat(F.lit(0.0), samples(seconds, rate))
 
 
 def gcd(a: Column, b: Column) -> Column:

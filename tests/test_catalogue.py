@@ -59,6 +59,13 @@ def test_norms_between_printed_and_exact_levels(spark, tmp_path, name):
     compare(spark, str(tmp_path), catalogue.QUERIES[name](spark, str(tmp_path)), catalogue.SQL[name])
 
 
+def test_silence_of_any_length(spark, tmp_path):
+    """Lengths whose zeros would not fit one array, and unknown ones."""
+    con = duckdb.connect()
+    con.execute(f"copy (select * from (values (5::bigint, 400000), (11, 50), (6, 0), (7, null), (3, 400001)) t(p_partkey, p_size)) to '{tmp_path}/part.parquet'")
+    compare(spark, str(tmp_path), catalogue.QUERIES["rates_and_silence"](spark, str(tmp_path)), catalogue.SQL["rates_and_silence"])
+
+
 def test_containers_follow_the_input(spark, tmp_path):
     """More documents of one file than a container's count can hold."""
     n = 70_000

@@ -54,6 +54,13 @@ def test_bits_and_bytes(spark):
     assert one(spark, h=s.from_le_hex(F.lit("04030201")))["h"] == 0x01020304
 
 
+def test_silence_has_its_samples(spark):
+    df = spark.createDataFrame([(0.25, 8), (0.3, 11025), (0.0, 8000), (-1.0, 8000), (None, 8000)], "s double, r int")
+    got = df.select(s.samples(F.col("s"), F.col("r")).alias("n"), s.silence(F.col("s"), F.col("r")).alias("z")).collect()
+    assert [r.n for r in got] == [2, 3307, 0, 0, None]
+    assert [r.z for r in got] == [None if r.n is None else [0.0] * r.n for r in got]
+
+
 def test_codebook():
     thresholds, centres = la.codebook(8)
     assert len(thresholds) == 7 and len(centres) == 8
