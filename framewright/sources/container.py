@@ -1,9 +1,9 @@
 """The multi-modality container: binary files to entry rows and back.
 
 Files are read by Spark's binaryFile source (any store, one file to a task) and unpacked in Arrow batches. A metadata scan is
-an expression that steps from entry to entry, so no payload is copied or leaves the JVM. Writing packs entries in their order; a
-container is one value, so the entries of one container come together in one task. Names are reduced to their last part, so
-none leads out of a folder.
+an expression that steps from entry to entry, so no payload is copied or leaves the JVM. Writing packs entries in their order, their
+payloads in the JVM too; a container is one value, so the entries of one container come together in one task. Names are reduced to
+their last part, so none leads out of a folder.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import let
+from ..functions.scalars import le_hex, let
 
 #: Fixed values of the format: mark, newest version, modalities. All numbers are little-endian.
 MAGIC, VERSION = b"TINY", 8
@@ -106,22 +106,27 @@ def entries(data: bytes, keep: bool = True) -> Iterator[dict]:
         yield row
 
 
-def pack_entry(row: dict) -> bytes:
-    """One entry as version 8 has it."""
+def entry_heads(row: dict, size: int, aux_size: int) -> tuple[bytes, bytes]:
+    """What stands before an entry's payload and before its auxiliary one in version 8; the second is empty if the entry has no such place."""
     name, kind = (row["name"] or "").encode("utf-8"), row["modality"]
-    payload, aux = row.get("payload") or b"", row.get("aux_payload") or b""
     n = lambda k: int(row.get(k) or 0)
-    out = struct.pack("<BH", kind, len(name)) + name
-    sized = lambda b: struct.pack("<I", len(b)) + b
+    first, length, more = struct.pack("<BH", kind, len(name)) + name, struct.pack("<I", size), struct.pack("<I", aux_size)
     sound = lambda: struct.pack("<IfIB", n("sample_rate"), row.get("bandwidth") or 0.0, n("num_samples"), n("channels"))
     if kind in (VIDEO, AV):
-        out += struct.pack("<IIfI", n("width"), n("height"), row.get("fps") or 0.0, n("total_frames")) + sized(payload)
-        return out + (sound() + sized(aux) if kind == AV else b"")
+        first += struct.pack("<IIfI", n("width"), n("height"), row.get("fps") or 0.0, n("total_frames")) + length
+        return first, sound() + more if kind == AV else b""
     if kind == AUDIO:
-        return out + sound() + sized(payload)
+        return first + sound() + length, b""
     if kind == SEMANTIC:
-        return out + struct.pack("<IIB", n("sample_rate"), n("num_samples"), n("channels")) + sized(payload)
-    return out + struct.pack("<HHBB", n("width"), n("height"), n("codec_id"), n("quality")) + sized(payload) + sized(aux)
+        return first + struct.pack("<IIB", n("sample_rate"), n("num_samples"), n("channels")) + length, b""
+    return first + struct.pack("<HHBB", n("width"), n("height"), n("codec_id"), n("quality")) + length, more
+
+
+def pack_entry(row: dict) -> bytes:
+    """One entry as version 8 has it."""
+    payload, aux = row.get("payload") or b"", row.get("aux_payload") or b""
+    before, between = entry_heads(row, len(payload), len(aux))
+    return before + payload + (between + aux if between else b"")
 
 
 def unpack(files: DataFrame, *, path: str = "path", content: str = "content") -> DataFrame:
@@ -214,25 +219,26 @@ def read(spark: SparkSession, path: str, *, metadata_only: bool = False) -> Data
 def pack(rows: DataFrame, by: str = "file") -> DataFrame:
     """(by, content, n_entries): one container for each value of `by`, entries in order of entry_idx.
 
-    Entries are encoded where they are; only their bytes are gathered. A container holds 65535 entries at most.
+    Only the entries' fields go to Python, which makes their heads; payloads stay in the JVM and are put between them and gathered
+    there. A container holds 65535 entries at most.
     """
-    names = [x for x in COLUMNS if x in rows.columns]
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [pack_entry(r) for r in batch.select(names).to_pylist()]
-            yield pa.record_batch([batch.column("_by"), batch.column("_at"), pa.array(found, pa.binary())], names=["by", "at", "data"])
-
-    def join(table: pa.Table) -> pa.Table:
-        table = table.sort_by("at")
-        if table.num_rows > 65535:
-            raise ValueError("too many entries for one container")
-        content = struct.pack("<4sBH", MAGIC, VERSION, table.num_rows) + b"".join(table.column("data").to_pylist())
-        return pa.table({by: table.column("by").slice(0, 1), "content": pa.array([content], pa.binary()), "n_entries": pa.array([table.num_rows], pa.int32())})
-
-    kind = dict(rows.dtypes)[by]
-    each = rows.withColumn("_by", F.col(by)).withColumn("_at", F.col("entry_idx").cast("int")).mapInArrow(encode, f"by {kind}, at int, data binary")
-    return each.groupBy("by").applyInArrow(join, f"{by} {kind}, content binary, n_entries int")
+    names = [x for x in COLUMNS if x in rows.columns and x not in ("payload", "aux_payload")]
+    blob = lambda x: F.coalesce(F.col(x), F.lit(b"")) if x in rows.columns else F.lit(b"")
+    payload, aux = blob("payload"), blob("aux_payload")
+
+    @F.arrow_udf("before binary, between binary")
+    def heads(fields: pa.Array) -> pa.Array:
+        found = [entry_heads(r, r["_size"], r["_aux_size"]) for r in fields.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array(x, pa.binary()) for x in (zip(*found) if found else ([], []))], names=["before", "between"])
+
+    fields = F.struct(*names, F.octet_length(payload).alias("_size"), F.octet_length(aux).alias("_aux_size"))
+    each = rows.select(F.col(by).alias("_by"), F.col("entry_idx").cast("int").alias("_at"), payload.alias("_payload"), aux.alias("_aux"), heads(fields).alias("_h"))
+    last = F.when(F.octet_length("_h.between") > 0, F.col("_aux")).otherwise(F.lit(b""))
+    each = each.select("_by", "_at", F.concat("_h.before", "_payload", "_h.between", last).alias("_data"))
+    joined = each.groupBy("_by").agg(F.expr("listagg(_data) within group (order by _at nulls last)").alias("_all"), F.count("*").cast("int").alias("_n"))
+    head = F.concat(F.lit(MAGIC + bytes([VERSION])), F.unhex(le_hex(F.col("_n"), 2)))
+    content = F.when(F.col("_n") > 65535, F.raise_error(F.lit("too many entries for one container")).cast("binary")).otherwise(F.concat(head, "_all"))
+    return joined.select(F.col("_by").alias(by), content.alias("content"), F.col("_n").alias("n_entries"))
 
 
 def write(rows: DataFrame, folder: str) -> None:
